@@ -27,5 +27,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op9_bpe": op9_bpe, "op10_packing": op10_packing}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
