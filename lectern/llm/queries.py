@@ -33,5 +33,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
