@@ -39,5 +39,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_pii": op3_pii, "op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
