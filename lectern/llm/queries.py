@@ -45,5 +45,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_pii": op3_pii, "op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import groups
+
+    return groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op3_pii": op3_pii, "op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
