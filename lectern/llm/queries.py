@@ -51,5 +51,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_pii": op3_pii, "op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import groups
+
+    return groups(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op5_embeddings": op5_embeddings, "op1_minhash": op1_minhash, "op3_pii": op3_pii, "op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
