@@ -57,5 +57,11 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op5_embeddings": op5_embeddings, "op1_minhash": op1_minhash, "op3_pii": op3_pii, "op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import compared
+
+    return compared(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_imatch": op8_imatch, "op5_embeddings": op5_embeddings, "op1_minhash": op1_minhash, "op3_pii": op3_pii, "op7_secrets": op7_secrets, "op4_sharding": op4_sharding, "op9_bpe": op9_bpe, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {}
