@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Characters of a text from which its leaves become rows of their own.
 SEGMENT = 65_536
 #: Bytes of a pre-token from which it is halved.
 LEAF = 384
 #: Words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 #: The file's pre-token pattern within the characters of the fast path.
@@ -93,19 +95,28 @@ class Codec:
 
     def __init__(self, said: str, ids: dict[bytes, int]):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(said)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.said = said
         self.spelled = {i: b for b, i in ids.items()}
         self.merged = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ids, special_tokens={})._core_bpe.encode_single_piece
         config = json.loads(said)
         size = max([*config["model"]["vocab"].values(), *(t["id"] for t in config["added_tokens"])]) + 1
-        self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
+        self.tokens = [""] * size
+        for token, i in [*config["model"]["vocab"].items(), *((t["content"], t["id"]) for t in config["added_tokens"])]:
+            self.tokens[i] = token
         self.special = [t["content"] for t in config["added_tokens"]]
         self.words: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's own tokenizer; few texts need it."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(self.said)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
     # a pre-token, as bytes that end in the marker
     def piece(self, b: bytes) -> list[int]:
         if len(b) <= LEAF:
@@ -229,6 +240,7 @@ def encode_with(df: DataFrame, path: str, make, schema: T.StructType, text: str
     Short texts are encoded where they are read. Texts over `segment` characters are cut into segments that are rows of their
     own, encoded in parallel, and joined by one task per text.
     """
+    bounded_batches(df.sparkSession)
     shared = shared_codec(df.sparkSession, path)
     rest = [c for c in df.columns if c != text]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))

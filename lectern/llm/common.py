@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -22,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of some MB at most, however long the texts are: what a Python worker holds doesn't grow with them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if now and int(now[1]) > most:  # a size with another unit was set on purpose
+        spark.conf.set(name, str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Codec, encode_with
-from .common import written
+from .common import bounded_batches, written
 
 WINDOW, END_ID = 2048, 1
 
@@ -139,6 +139,7 @@ def place(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     Only counts by (part, length) are shuffled together; a length that a third of all rows share is no hot key.
     """
     spark = lengths.sparkSession
+    bounded_batches(spark)
     counted = lengths.groupBy("part", "length").agg((F.max("pos") + 1).alias("n"))
     # running sums over the parts, of one row for each part and length
     base = counted.select("part", "length", (F.sum("n").over(_before()) - F.col("n")).alias("base"))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Alternatives of literal text that a part of a pattern may spell, at most; beyond, the part counts as unknown.
 SPELLINGS = 64
 
@@ -180,6 +182,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def find(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", out: str = "secrets") -> DataFrame:
     """df with the spans of every rule in `out` (a column of that name is replaced), by start, then in the order of the rules."""
+    bounded_batches(df.sparkSession)
     kinds = [r.kind for r in rules]
     df = df.drop(out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(SPANS))])
@@ -195,6 +198,7 @@ def find(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text
 
 def redact(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every secret in df[text] replaced; overlapping spans are replaced as one. null stays null."""
+    bounded_batches(df.sparkSession)
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(rules)
