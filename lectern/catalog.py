@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import Query, text
 
-from pyspark.sql import DataFrame, SparkSession
+_PARTS = (text,)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in _PARTS:
+    QUERIES |= _part.R.queries
+    ORACLE_SQL |= _part.R.sql
