@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import Query, text
+from .queries import Query, text, web
 
-_PARTS = (text,)
+_PARTS = (text, web)
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}

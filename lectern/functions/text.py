@@ -5,6 +5,8 @@ Java's \\s and \\w are ASCII unless (?U) asks for Unicode; a null input counts a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ PHONES = (r"\b\d{3}-\d{3}-\d{4}\b", r"\b\(\d{3}\)\s*\d{3}-\d{4}\b", r"\b\d{3}\.\
 _URL = r"^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def or_empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 

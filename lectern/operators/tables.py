@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bigint, lines, or_empty, strip, words
+from ..functions.text import bigint, let, lines, or_empty, strip, words
 
 # Function words that tell prose from cells.
 STOP_WORDS = (
@@ -43,9 +43,8 @@ def consistent(rows: Column) -> Column:
     kept = F.filter(F.transform(rows, strip), lambda r: (r != "") & ~r.rlike(_RULE))
     width = lambda r: F.when(r.contains("|"), F.size(cells(r))).when(r.contains("\t"), F.size(F.split(r, "\t", -1))).otherwise(F.size(cells(r)))
     widths = F.transform(kept, width)
-    most = F.array_max(F.transform(F.array_distinct(widths), lambda w: F.size(F.filter(widths, lambda v: v == w))))
-    n = F.size(widths)
-    return F.coalesce((n > 0) & ((n - most) <= F.greatest(F.lit(1.0), n * 0.3)), F.lit(False))
+    deviating = lambda w: F.size(w) - F.array_max(F.transform(F.array_distinct(w), lambda a: F.size(F.filter(w, lambda b: a == b))))
+    return let(widths, lambda w: F.coalesce((F.size(w) > 0) & (deviating(w) <= F.greatest(F.lit(1.0), F.size(w) * 0.3)), F.lit(False)))
 
 
 def cell_matrix(rows: Column) -> Column:
@@ -56,6 +55,10 @@ def cell_matrix(rows: Column) -> Column:
 
 def quality(data: Column, least_filled: float = 0.4, weak_share: float = 0.5, distinct: int = 3) -> Column:
     """struct<passed, reason, rows, cols, occupancy, weak_cols, unique_cells> of a matrix of cells; reasons in a fixed order."""
+    return let(data, lambda d: _quality(d, least_filled, weak_share, distinct))
+
+
+def _quality(data: Column, least_filled: float, weak_share: float, distinct: int) -> Column:
     rows, cols = F.size(data), F.array_max(F.transform(data, F.size))
     text = lambda c: F.coalesce(strip(c), F.lit(""))
     filled = F.filter(F.transform(F.flatten(data), text), lambda c: c != "")

@@ -152,7 +152,7 @@ def md_quotes(spark, sf_dir):
 
 
 _CELLS = "list_transform(list_slice(string_split(s, '|'), 2, -2), lambda c: trim(c))"
-_IS_RULE = "regexp_matches({0}, '^\\s*\\|[\\s:-]+\\|\\s*$')"
+_IS_RULE = "regexp_matches({0}, '^\\s*\\|[\\s:|-]*-[\\s:|-]*\\|\\s*$')"
 _RULED = f"list_transform({_CELLS}, lambda c: case when c like ':%' and c like '%:' then ':---:' when c like '%:' then '---:' when c like '%:%' then ':---' else '---' end)"
 
 
