@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import Query, text, web
+from .queries import Query, layout, text, web
 
-_PARTS = (text, web)
+_PARTS = (text, web, layout)
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
