@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import Query, layout, text, web
+from .queries import Query, assets, layout, text, web
 
-_PARTS = (text, web, layout)
+_PARTS = (text, web, layout, assets)
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
