@@ -5,7 +5,8 @@ Words are runs of characters other than ASCII white space, after lower-casing A-
 signatures of DEPTH MinHash values; for each tree the nodes stand in the order of their signatures, and the WIDTH nodes that
 follow in that order are candidates if the common prefix has LEAST values or more. So where a region of the order is
 dense the neighbours share long prefixes, and where it is sparse short ones do: the depth adapts to the region, and no
-bucket is ever gathered. The orders are range-partitioned by tree, signature and node, which also splits regions of equal
+bucket is ever gathered. In regions with more nodes than that, the likeliest BEST of the WIDE nodes on either side, by two bits
+of each value of the whole signature, are candidates too. The orders are range-partitioned by tree, signature and node, which also splits regions of equal
 signatures; neighbours across the partitions' borders are found from the rows at the borders.
 
 Candidates whose signatures agree too little for a link (five standard deviations below the threshold) are set aside. Of the others
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, components, written
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
+BEST, WIDE = 3, 64
 WORDS = 5
 #: Links have 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
@@ -79,62 +81,95 @@ def _node(h: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (of the set; null if empty), sig."""
+    """doc_id, n_shingles, node (of the set; null if empty), sig, sketch."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             sets = [shingles(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([_node(s) if len(s) else None for s in sets], "Int64"), "sig": [signature(s).tobytes() if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([_node(s) if len(s) else None for s in sets], "Int64"), "sig": (sigs := [signature(s).tobytes() if len(s) else None for s in sets]), "sketch": [_sketch(s) if s else None for s in sigs]})
 
-    return docs.select("doc_id", "text").mapInPandas(profile, "doc_id long, n_shingles long, node long, sig binary")
+    return docs.select("doc_id", "text").mapInPandas(profile, "doc_id long, n_shingles long, node long, sig binary, sketch binary")
 
 
-def _neighbours(tree: np.ndarray, sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs at most WIDTH apart in the order whose signatures share LEAST values."""
-    a, b = [], []
-    for k in range(1, min(WIDTH, len(node) - 1) + 1):
-        same = (tree[k:] == tree[:-k]) & (sig[k:, :LEAST] == sig[:-k, :LEAST]).all(axis=1) & (node[k:] != node[:-k])
-        a.append(node[:-k][same])
-        b.append(node[k:][same])
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-    return np.minimum(a, b), np.maximum(a, b)
+def _sketch(sig: bytes) -> bytes:
+    """Two bits of each value."""
+    low = (np.frombuffer(sig, ">u4") & 3).astype(np.uint8).reshape(-1, 4)
+    return (low << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many two-bit values differ, of rows of 64-bit words."""
+    x = a ^ b
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+
+
+def _first_of_each(key: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n first rows of each key, by order."""
+    by = np.lexsort((order, key))
+    start = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+    rank = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
+    return by[rank < n]
+
+
+def _neighbours(tree: np.ndarray, sig: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in the order whose signatures share LEAST values: WIDTH apart at most, and the likeliest of those WIDE apart at most."""
+    same = (tree[1:] == tree[:-1]) & (sig[1:, :LEAST] == sig[:-1, :LEAST]).all(axis=1)
+    region = np.r_[0, np.cumsum(~same)]
+    near, far = [], []
+    for k in range(1, min(WIDE, len(node) - 1) + 1):
+        i = np.flatnonzero(region[k:] == region[:-k])
+        if not len(i):
+            break
+        i = i[node[i] != node[i + k]]
+        if k <= WIDTH:
+            near.append(np.stack([i, i + k], axis=1))
+        else:
+            far.append(np.stack([i, i + k, _unlike(sketch[i], sketch[i + k])], axis=1))
+    if far:
+        wide = np.concatenate(far)
+        chosen = np.union1d(*(_first_of_each(wide[:, side], wide[:, 2], BEST) for side in (0, 1)))
+        near.append(wide[chosen, :2])
+    pairs = node[np.concatenate(near)] if near else np.empty((0, 2), np.int64)
+    return pairs.min(axis=1), pairs.max(axis=1)
 
 
 def _in_order(edges: bool):
     """Candidates of one partition in order; with edges also its first and last WIDTH rows."""
+    columns = ["a", "b", "tree", "sig", "node", "sketch"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(x: pd.DataFrame) -> pd.DataFrame:
             sig = np.frombuffer(b"".join(x["sig"]), ">u4").reshape(len(x), DEPTH)
-            a, b = _neighbours(x["tree"].to_numpy(), sig, x["node"].to_numpy())
+            sketch = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1)
+            a, b = _neighbours(x["tree"].to_numpy(), sig, x["node"].to_numpy(), sketch)
             return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
         before, head, seen = None, None, 0
         for x in batches:
             now = x if before is None else pd.concat([before, x], ignore_index=True)
-            yield pairs(now).reindex(columns=["a", "b", "tree", "sig", "node"])
+            yield pairs(now).reindex(columns=columns)
             if edges and seen < WIDTH:
                 head = x.head(WIDTH - seen) if head is None else pd.concat([head, x.head(WIDTH - seen)])
             seen += len(x)
-            before = now.tail(WIDTH)
+            before = now.tail(WIDE)
         if edges and before is not None:
-            yield pd.concat([head, before]).drop_duplicates(["tree", "sig", "node"]).reindex(columns=["a", "b", "tree", "sig", "node"])
+            yield pd.concat([head, before.tail(WIDTH)]).drop_duplicates(["tree", "sig", "node"]).reindex(columns=columns)
 
     return run
 
 
-_FOUND = "a long, b long, tree int, sig binary, node long"
+_FOUND = "a long, b long, tree int, sig binary, node long, sketch binary"
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes (node, sig) that are neighbours in one of the orders."""
+    """Distinct (a, b), a < b, of nodes (node, sig, sketch) that are neighbours in one of the orders."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
-    rows = nodes.select("node", F.posexplode(parts).alias("tree", "sig")).select("tree", "sig", "node")
+    rows = nodes.select("node", "sketch", F.posexplode(parts).alias("tree", "sig")).select("tree", "sig", "node", "sketch")
     order = ["tree", "sig", "node"]
     found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_in_order(True), _FOUND)
     found = written(found, "neighbours")
     # a few rows for each partition
-    border = found.where("a is null").select(*order).coalesce(1).sortWithinPartitions(*order).mapInPandas(_in_order(False), _FOUND)
+    border = found.where("a is null").select(*order, "sketch").coalesce(1).sortWithinPartitions(*order).mapInPandas(_in_order(False), _FOUND)
     return found.where("a is not null").select("a", "b").union(border.select("a", "b")).distinct()
 
 
@@ -182,7 +217,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(profiles(docs), "profiles")
     # copies are put together before anything is compared
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "nodes")
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "nodes")
     pairs = written(likely(candidates(nodes), nodes, percent), "pairs")
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
