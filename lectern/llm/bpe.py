@@ -256,7 +256,9 @@ def encode_with(df: DataFrame, path: str, make, schema: T.StructType, text: str
     size = F.length("body")
     short = df.where(size <= segment).mapInPandas(whole, schema)
     cut = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / segment).cast("int")), lambda i: F.substring("body", i * segment + 1, F.lit(segment)))
-    long = df.where(size > segment).select(*kept, F.monotonically_increasing_id().alias("row"), F.posexplode(cut).alias("part", "body"))
+    # the number of a row is made before its segments are, or each segment would have its own
+    long = df.where(size > segment).withColumn("row", F.monotonically_increasing_id())
+    long = long.select(*kept, "row", F.posexplode(cut).alias("part", "body"))
     leaf = T.StructType([*long.schema.fields, T.StructField("ids", T.BinaryType())])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,10 +29,11 @@ from .common import bounded_batches, held_out, written
 SAMPLE = 6000
 #: Terms and stems, at most, and what makes one: toxic documents, how much more often than in clean ones, and evidence (natural
 #: logarithm of the odds against chance; over that of the vocabulary's size, so that chance alone gives no term).
-TERMS, STEMS, SUPPORT, LIFT, EVIDENCE = 1000, 300, 4, 12.0, 15.0
+TERMS, STEMS, SUPPORT, LIFT, STEM_LIFT, EVIDENCE = 1000, 300, 4, 12.0, 6.0, 15.0
 STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 4
 ONE_FROM, TWO_FROM = 5, 10
 WINDOW = 8
+STEM = 9
 THRESHOLD = 0.3
 REMEMBERED = 250_000
 STATES = 200_000
@@ -125,7 +126,7 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> int:
-        """0: no term; 1: a term, or a word that begins with a stem; 1 + edits: a misspelled term."""
+        """0: no term; 1: a term; 1 + edits: a misspelled term; STEM: another word that begins with a stem."""
         if len(self.sets) > STATES:
             self._reset()
         at, stem = self.start, False
@@ -133,9 +134,9 @@ class Lexicon:
             to = self.moves[at].get(c)
             at = self._move(at, c) if to is None else to
             if at < 0:
-                return int(stem)
+                return STEM if stem else 0
             stem = stem or self.begins[at]
-        return 1 if stem else self.ends[at]
+        return STEM if stem and self.ends[at] != 1 else self.ends[at]
 
 
 @dataclass
@@ -146,8 +147,8 @@ class Model:
     weights: list[float] = field(default_factory=list)  # intercept first; none: nothing was learned
 
 
-#: strength of hits, quotations, address beside hits, hits in a hundred words, length of a text with hits
-FEATURES = 5
+#: strength of hits, words with a stem, quotations, address beside hits, hits in a hundred words, length of a text with hits
+FEATURES = 6
 
 
 class Scorer:
@@ -167,8 +168,8 @@ class Scorer:
             if not found and word:
                 plain = word.translate(_LOOKS)
                 found = self.lexicon.match(plain) if plain != word else 0
-                found = max(found, 2) if found else 0
-            if found > 1 and word in self.model.usual:
+                found = max(found, 2) if found and found != STEM else 0
+            if 1 < found < STEM and word in self.model.usual:
                 found = 0
             if len(self.known) > REMEMBERED:
                 self.known.clear()
@@ -191,11 +192,12 @@ class Scorer:
         found = self.hits(text)
         if not found:
             return [0.0] * FEATURES
-        abuse = sum(0.85**e for _, e, q, _ in found if not q)
+        abuse = sum(0.85**e for _, e, q, _ in found if not q and e < STEM - 1)
+        stems = sum(not q and e == STEM - 1 for _, e, q, _ in found)
         said = sum(q for *_, q, _ in found)
         near = sum(a for *_, q, a in found if not q)
         words = len(text.split())
-        return [math.log1p(abuse) + (abuse > 0), math.log1p(said), math.log1p(near), min(3.0, 100 * abuse / words), math.log1p(words / 100) * (abuse > 0)]
+        return [math.log1p(abuse) + (abuse > 0), math.log1p(stems) + (stems > 0), math.log1p(said), math.log1p(near), min(3.0, 100 * (abuse + stems) / words), math.log1p(words / 100) * (abuse + stems > 0)]
 
     def score(self, text: str | None) -> float:
         w = self.model.weights
@@ -247,7 +249,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad or not good:
         return Model()
-    words = written(rows.select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(_words(F.col("text"))).alias("word")), "words")
+    words = rows.withColumn("row", F.monotonically_increasing_id()).select("toxic", "row", F.explode(_words(F.col("text"))).alias("word"))
+    words = written(words, "words")
     lift = ((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("good") + 0.5) / (good + 1))
     seen = [F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")]
     base, share = bad / (bad + good), F.col("bad") / (F.col("bad") + F.col("good"))
@@ -258,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     stems = beginnings.groupBy("stem", "row", "toxic").agg(F.min("word").alias("least"), F.max("word").alias("most")).groupBy("stem")
     stems = stems.agg(*seen, F.size(F.array_distinct(F.flatten(F.collect_set(F.array("least", "most"))))).alias("words"))
     chosen: list[str] = []
-    for r in marked(stems.where(F.col("words") >= STEM_WORDS), 2 * LIFT).orderBy(F.desc("odds"), F.desc(F.length("stem")), "stem").limit(STEMS).collect():
+    for r in marked(stems.where(F.col("words") >= STEM_WORDS), STEM_LIFT).orderBy(F.desc("odds"), F.desc(F.length("stem")), "stem").limit(STEMS).collect():
         if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in chosen):
             chosen.append(r["stem"])
     terms = [t for t in terms if not any(t.startswith(s) for s in chosen)]
@@ -284,7 +287,7 @@ def _fuzzy(words: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(sent.value.terms, sent.value.stems)
         for x in batches:
-            yield x[[lexicon.match(w) > 1 or lexicon.match(w.translate(_LOOKS)) > 1 for w in x["word"]]]
+            yield x[[1 < lexicon.match(w) < STEM or 1 < lexicon.match(w.translate(_LOOKS)) < STEM for w in x["word"]]]
 
     return words.mapInPandas(run, "word string")
 
