@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import Query, assets, documents, layout, text, web
+from .queries import Query, assets, documents, layout, spans, text, web
 
-_PARTS = (text, web, layout, assets, documents)
+_PARTS = (text, web, layout, assets, documents, spans)
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}

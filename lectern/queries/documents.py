@@ -75,7 +75,10 @@ def response_views(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", D.as_view(*parts, "markdown").alias("as_markdown"), D.as_view(*parts, "plain").alias("as_plain"))
 
 
-@R.add("robots_allowed", "select page_id, url from pages where not (page_id % 2 = 0 and regexp_matches(url, '^[a-z]+://[^/?#]*/fr(/|$)'))")
+_DOMAIN = "regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@R.add("robots_allowed", f"select page_id, url from pages where not ({_DOMAIN} in (select {_DOMAIN} from pages where page_id % 2 = 0) and regexp_matches(url, '^[a-z]+://[^/?#]*/fr/'))")
 def robots_allowed(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = F.when(F.col("page_id") % 2 == 0, "User-agent: *\nDisallow: /fr/\nDisallow: /fr$\n")
@@ -83,10 +86,6 @@ def robots_allowed(spark, sf_dir):
     return D.allowed_by_robots(pages, robots)
 
 
-_DOMAIN = "regexp_extract(url, '://([^/?#]*)', 1)"
-R.sql["robots_allowed"] = f"select page_id, url from pages where not ({_DOMAIN} in (select {_DOMAIN} from pages where page_id % 2 = 0) and regexp_matches(url, '^[a-z]+://[^/?#]*/fr/'))"
-
-
 @R.add("latex_symbols", "select c_custkey, 'x \\leq y^{2} and \\alpha \\in \\mathbb{R}, ' || c_name || '_{1}' as latex, true as has_symbols from customer")
 def latex_symbols(spark, sf_dir):
     text = F.concat(F.lit("x ≤ y² and α∈ℝ, "), "c_name", F.lit("₁"))

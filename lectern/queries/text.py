@@ -71,13 +71,11 @@ def text_word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n).alias("words"), F.max(n).alias("most"))
 
 
-@R.add("text_emails", r"select doc_id, i::bigint as pos, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')) as email from documents, lateral (select generate_subscripts(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'), 1) - 1 as i) where false")
+@R.add("text_emails", r"with f as (select doc_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b') as x from documents) select doc_id, unnest(range(0, len(x)))::bigint as pos, unnest(x) as email from f")
 def text_emails(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.emails(F.col("text"))).alias("pos", "email")).select("doc_id", T.bigint(F.col("pos")).alias("pos"), "email")
 
 
-R.sql["text_emails"] = r"with f as (select doc_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b') as x from documents) select doc_id, unnest(range(0, len(x)))::bigint as pos, unnest(x) as email from f"
-
 _PHONES = " || ".join(f"regexp_extract_all(t, '{p}')" for p in (r"\b\d{3}-\d{3}-\d{4}\b", r"\b\(\d{3}\)\s*\d{3}-\d{4}\b", r"\b\d{3}\.\d{3}\.\d{4}\b", r"\b\d{10}\b"))
 _NUMBERS = "concat(text, ' 555-', cast(100 + doc_id % 900 as string), '-1234 x(212) 555-0000 ', cast(1000000000 + doc_id as string), ' 100.200.3000')"
 
