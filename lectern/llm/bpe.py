@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, keep_only
 
 #: Characters of a text from which its leaves become rows of their own.
 SEGMENT = 65_536
@@ -212,6 +212,7 @@ _codecs: dict[int, Codec] = {}
 
 def codec_of(shared) -> Codec:
     """This worker's codec for a broadcast (JSON, ids); its words stay from batch to batch."""
+    keep_only("bpe", _codecs.clear)
     if shared.id not in _codecs:
         _codecs.clear()
         _codecs[shared.id] = Codec(*shared.value)

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,16 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str, drop: Callable[[], None]) -> None:
+    """Drops what other operators keep in this Python worker; a worker serves one stage after another."""
+    for other in [n for n in _kept if n != name]:
+        _kept.pop(other)()
+    _kept[name] = drop
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held_out
+from .common import bounded_batches, held_out, keep_only
 
 SAMPLE_DOCS, SAMPLE_CHARS = 200, 60_000
 #: Languages, at most; the most frequent are learned.
@@ -176,6 +176,7 @@ _own: dict[int, Identifier] = {}
 
 def _identifier(texts: dict[str, str]) -> Identifier:
     """This worker's, for as long as the labelled text is the same."""
+    keep_only("langid", _own.clear)
     key = hash(tuple(sorted(texts.items())))
     if key not in _own:
         _own.clear()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, written
+from .common import bounded_batches, components, keep_only, written
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
 BEST, WIDE = 3, 64
@@ -84,6 +84,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (of the set; null if empty), sig, sketch."""
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("minhash", _words.clear)
         for x in batches:
             sets = [shingles(t) for t in x["text"]]
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([_node(s) if len(s) else None for s in sets], "Int64"), "sig": (sigs := [signature(s).tobytes() if len(s) else None for s in sets]), "sketch": [_sketch(s) if s else None for s in sigs]})
