@@ -176,3 +176,29 @@ def allowed_by_robots(pages: DataFrame, robots: DataFrame, agent: str = "*") ->
     own = pages.withColumn("own_domain", X.domain(F.col("url")))
     ruled = own.join(robots.select(F.col("domain").alias("own_domain"), "txt"), "own_domain", "left")
     return ruled.where(allowed("url", "txt")).drop("own_domain", "txt")
+
+
+def asset_id(kind: Column, page: Column, index: Column) -> Column:
+    """A name that is the same on every run."""
+    return F.concat_ws("_", kind, page.cast("string"), index.cast("string"))
+
+
+def html_of_text(text: Column, title: Column, links: Column, most_links: int = 50) -> Column:
+    """A plain page of a text's paragraphs and its first links (struct<url, text>); nothing is escaped."""
+    body = F.transform(F.filter(F.transform(F.split(X.or_empty(text), "\n\n"), X.strip), lambda p: p != ""), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>")))
+    anchors = F.transform(F.slice(links, 1, most_links), lambda x: F.concat(F.lit("<a href='"), x["url"], F.lit("'>"), F.coalesce(x["text"], x["url"]), F.lit("</a><br>")))
+    none = F.array().cast("array<string>")
+    head = F.when(X.or_empty(title) != "", F.array(F.concat(F.lit("<title>"), title, F.lit("</title>")))).otherwise(none)
+    foot = F.when(F.size(anchors) > 0, F.concat(F.array(F.lit("<div class='links'>")), anchors, F.array(F.lit("</div>")))).otherwise(none)
+    return F.array_join(F.concat(F.array(F.lit("<html><head>")), head, F.array(F.lit("</head><body>"), F.lit("<div class='main-content'>")), body, F.array(F.lit("</div>")), foot, F.array(F.lit("</body></html>"))), "\n")
+
+
+def image_name(caption: Column, xref: Column, nearby: Column, pdf: Column, page: Column, index: Column) -> Column:
+    """The first that is long enough of: slug of the caption (3), of the reference's name (2), of five words nearby (3); else a number."""
+    from ..functions.latex import slug
+
+    words = F.array_join(F.slice(X.words(nearby), 1, 5), " ")
+    a, b, c = slug(X.or_empty(caption)), slug(X.or_empty(xref)), slug(words)
+    number = F.concat(pdf, F.lit("-p"), page.cast("string"), F.lit("-"), index.cast("string"))
+    return F.coalesce(F.when(F.length(a) >= 3, a), F.when(F.length(b) >= 2, b), F.when(F.length(c) >= 3, c), number)
+

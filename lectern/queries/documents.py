@@ -101,3 +101,31 @@ def latex_repaired(spark, sf_dir):
 @R.add("slugs", "select p_partkey, lower(replace(p_name, ' ', '-')) || '-cafe-' || cast(p_partkey as varchar) as slug from part")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", L.slug(F.concat("p_name", F.lit("  Café: #-"), F.col("p_partkey").cast("string"), F.lit("!"))).alias("slug"))
+
+
+@R.add("asset_ids", "select l_orderkey, l_linenumber, 'table_' || cast(l_partkey as varchar) || '_' || cast(l_linenumber as varchar) as asset_id from lineitem")
+def asset_ids(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", D.asset_id(F.lit("table"), F.col("l_partkey"), F.col("l_linenumber")).alias("asset_id"))
+
+
+@R.add("html_of_text", "select p_partkey, '<html><head>' || chr(10) || '<title>' || p_name || '</title>' || chr(10) || '</head><body>' || chr(10) || '<div class=''main-content''>' || chr(10) || '<p>' || p_brand || '</p>' || chr(10) || '<p>' || p_type || '</p>' || chr(10) || '</div>' || chr(10) || '<div class=''links''>' || chr(10) || '<a href=''https://x.org/' || cast(p_partkey as varchar) || '''>' || 'https://x.org/' || cast(p_partkey as varchar) || '</a><br>' || chr(10) || '</div>' || chr(10) || '</body></html>' as html from part")
+def html_of_text(spark, sf_dir):
+    text = F.concat(F.col("p_brand"), F.lit("\n\n \n\n"), F.col("p_type"))
+    link = F.struct(F.concat(F.lit("https://x.org/"), F.col("p_partkey").cast("string")).alias("url"), F.lit(None).cast("string").alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", D.html_of_text(text, F.col("p_name"), F.array(link)).alias("html"))
+
+
+@R.add("image_names", "select p_partkey, case p_partkey % 4 when 0 then lower(replace(p_name, ' ', '-')) when 1 then 'im1' when 2 then 'near-the-' || lower(p_type) || '-part' else 'doc-p3-' || cast(p_partkey as varchar) end as name from part")
+def image_names(spark, sf_dir):
+    k, none = F.col("p_partkey") % 4, F.lit(None).cast("string")
+    caption, xref = F.when(k == 0, F.col("p_name")), F.when(k <= 1, "Im1")
+    nearby = F.when(k == 2, F.concat(F.lit("near the "), "p_type", F.lit(" part"))).otherwise(none)
+    return table(spark, sf_dir, "part").select("p_partkey", D.image_name(caption, xref, nearby, F.lit("doc"), F.lit(3), F.col("p_partkey")).alias("name"))
+
+
+@R.add("source_errors", "select page_id, case when page_id % 5 = 0 then 'Invalid URL format' when page_id % 7 = 0 then 'no content' end as error from pages")
+def source_errors(spark, sf_dir):
+    from ..sources.tables import scan_errors
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, "nowhere").otherwise(F.col("url")).alias("url"), F.when(F.col("page_id") % 7 != 0, F.col("html")).alias("html"))
+    return scan_errors(pages).select("page_id", "error")
