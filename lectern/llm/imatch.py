@@ -56,10 +56,16 @@ def _table(words: DataFrame) -> Column:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "hs"))), lambda c: c["hs"]).alias("cells")).scalar()
 
 
-def _slot(found: Column, bits: int, first: int, value: int) -> Column:
-    mine = F.filter(found, lambda h: F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << bits) - 1)) == value)
-    code = F.lpad(F.hex(F.xxhash64(mine).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
-    return F.when(F.size(mine) > 0, F.lower(code)).otherwise(F.lit(EMPTY))
+def _slots(found: Column, bits: int, first: int, n: int) -> Column:
+    """The slots of one rate. Sparse subsets are cut out of the few terms that are in any of them."""
+    field = lambda h: F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << bits) - 1))
+
+    def slot(some: Column, value: int) -> Column:
+        mine = F.filter(some, lambda h: field(h) == value)
+        code = lambda x: F.lower(F.lpad(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+        return let(mine, lambda x: F.when(F.size(x) > 0, code(x)).otherwise(F.lit(EMPTY)))
+
+    return let(F.filter(found, lambda h: field(h) < n), lambda some: F.concat(*[slot(some, v) for v in range(n)]))
 
 
 def fingerprint(text: Column, table: Column) -> Column:
@@ -70,7 +76,7 @@ def fingerprint(text: Column, table: Column) -> Column:
 
         return let(terms(text), chosen)
 
-    slots = lambda found: F.concat(*[_slot(found, bits, first, v) for bits, first, n in RATES for v in range(n)])
+    slots = lambda found: F.concat(*[_slots(found, *rate) for rate in RATES])
     return let(let(table, band), slots)
 
 
