@@ -73,54 +73,76 @@ def coded(vectors: DataFrame, bits: int, count: int) -> DataFrame:
     return vectors.mapInPandas(code, _FIELDS)
 
 
-class Bucket:
-    """Links within one bucket, or between two blocks of one."""
+class Rows:
+    """Rows of one dimension as arrays."""
 
-    def __init__(self, x: pd.DataFrame, threshold: float):
-        self.node, self.weight = x["node"].to_numpy(), x["weight"].to_numpy()
-        self.table, self.dim = int(x["t"].iloc[0]), int(x["dim"].iloc[0])
-        self.v = np.frombuffer(b"".join(x["vec"]), np.float64).reshape(len(x), self.dim)
+    FIELDS = ("node", "weight", "blk", "f", "v", "sign", "keys", "place")
+
+    def __init__(self, dim: int, **fields: np.ndarray):
+        self.dim = dim
+        for name in self.FIELDS:
+            setattr(self, name, fields[name])
+
+    @classmethod
+    def of(cls, x: pd.DataFrame) -> Rows:
+        dim = int(x["dim"].iloc[0])
         packed = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
-        self.sign = np.unpackbits(packed, axis=1)[:, : self.dim].astype(np.float32) * 2 - 1
-        self.f = x["f"].to_numpy()
-        self.keys = np.stack(x["keys"].to_list())[:, : self.table]
-        self.blk, self.lo, self.hi = x["blk"].to_numpy(), int(x["lo"].iloc[0]), int(x["hi"].iloc[0])
-        self.threshold = threshold
-
-    def pairs(self, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.node)
-        # of two blocks only pairs across, of one block each pair once
-        rows, cols = (np.flatnonzero(self.blk == self.lo), np.flatnonzero(self.blk == self.hi)) if self.lo != self.hi else (np.arange(n),) * 2
-        turned = (self.v[cols] @ rotation.T).astype(np.float32)
-        estimate = (self.sign[rows] @ turned.T) / (math.sqrt(self.dim) * self.f[rows, None])
-        error = EPSILON * np.sqrt(np.maximum(0, 1 - self.f[rows] ** 2) / (self.f[rows] ** 2 * max(1, self.dim - 1)))
-        i, j = np.nonzero(estimate + error[:, None] + 1e-5 >= self.threshold)
-        i, j = rows[i], cols[j]
-        if self.lo == self.hi:
-            i, j = i[i < j], j[i < j]
-        out = [(np.empty(0, np.int64),) * 2]
-        for at in range(0, len(i), 65_536):
-            p, q = i[at : at + 65_536], j[at : at + 65_536]
-            new = ~(self.keys[p] == self.keys[q]).any(axis=1)
-            p, q = p[new], q[new]
-            near = np.einsum("ij,ij->i", self.v[p], self.v[q]) >= self.threshold
-            out.append((p[near], q[near]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def links(self, rotation: np.ndarray) -> pd.DataFrame:
-        """node, links, least: for each linked node the weight of its partners, and the smallest node that it is linked with here."""
-        i, j = self.pairs(rotation)
-        n = len(self.node)
-        count = np.bincount(i, self.weight[j], n) + np.bincount(j, self.weight[i], n)
-        low = self.node.copy()
-        while len(i):
-            was = low.copy()
-            np.minimum.at(low, i, low[j])
-            np.minimum.at(low, j, low[i])
-            if (was == low).all():
-                break
-        hit = count > 0
-        return pd.DataFrame({"node": self.node[hit], "links": count[hit].astype(np.int64), "least": low[hit]})
+        sign = np.unpackbits(packed, axis=1)[:, :dim].astype(np.float32) * 2 - 1
+        v = np.frombuffer(b"".join(x["vec"]), np.float64).reshape(len(x), dim)
+        return cls(dim, **{n: x[n].to_numpy() for n in ("node", "weight", "blk", "f")}, v=v, sign=sign, keys=np.stack(x["keys"].to_list()), place=x[["t", "key", "lo", "hi"]].to_numpy())
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+    def cut(self, a: int, b: int) -> Rows:
+        return Rows(self.dim, **{n: getattr(self, n)[a:b] for n in self.FIELDS})
+
+    def joined(self, other: Rows) -> Rows:
+        return Rows(self.dim, **{n: np.concatenate([getattr(self, n), getattr(other, n)]) for n in self.FIELDS})
+
+    def same_place(self, other: Rows) -> bool:
+        return self.dim == other.dim and (self.place[-1] == other.place[0]).all()
+
+
+def pairs_of(x: Rows, rotation: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the links within one bucket, or between two blocks of one, that no earlier table has."""
+    n, (table, _, low, high) = len(x), x.place[0]
+    # of two blocks only pairs across, of one block each pair once
+    rows, cols = (np.flatnonzero(x.blk == low), np.flatnonzero(x.blk == high)) if low != high else (np.arange(n),) * 2
+    f = x.f[rows, None]
+    turned = (x.v[cols] @ rotation.T).astype(np.float32)
+    estimate = (x.sign[rows] @ turned.T) / (math.sqrt(x.dim) * f)
+    error = EPSILON * np.sqrt(np.maximum(0, 1 - f**2) / (f**2 * max(1, x.dim - 1)))
+    i, j = np.nonzero(estimate + error + 1e-5 >= threshold)
+    i, j = rows[i], cols[j]
+    if low == high:
+        i, j = i[i < j], j[i < j]
+    out = [(np.empty(0, np.int64),) * 2]
+    for at in range(0, len(i), 65_536):
+        p, q = i[at : at + 65_536], j[at : at + 65_536]
+        new = ~(x.keys[p, :table] == x.keys[q, :table]).any(axis=1)
+        p, q = p[new], q[new]
+        near = np.einsum("ij,ij->i", x.v[p], x.v[q]) >= threshold
+        out.append((p[near], q[near]))
+    return tuple(np.concatenate(y) for y in zip(*out, strict=True))
+
+
+def bucket_links(x: Rows, rotation: np.ndarray, threshold: float) -> pd.DataFrame | None:
+    """node, links, least: for each linked node the weight of its partners, and the smallest node that it is linked with here."""
+    i, j = pairs_of(x, rotation, threshold)
+    if not len(i):
+        return None
+    n = len(x)
+    count = np.bincount(i, x.weight[j], n) + np.bincount(j, x.weight[i], n)
+    low = x.node.copy()
+    while True:
+        was = low.copy()
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        if (was == low).all():
+            break
+    hit = count > 0
+    return pd.DataFrame({"node": x.node[hit], "links": count[hit].astype(np.int64), "least": low[hit]})
 
 
 def links(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -139,28 +161,34 @@ def links(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: float
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn: dict[int, np.ndarray] = {}
 
-        def bucket(x: pd.DataFrame) -> pd.DataFrame:
-            b = Bucket(x, threshold)
-            if b.dim not in turn:
-                turn[b.dim] = rotations(b.dim, 1)[0]
-            return b.links(turn[b.dim])
+        def found(x: Rows) -> list[pd.DataFrame]:
+            if len(x) < 2:
+                return []
+            if x.dim not in turn:
+                turn[x.dim] = rotations(x.dim, 1)[0]
+            out = bucket_links(x, turn[x.dim], threshold)
+            return [] if out is None else [out]
 
-        held: list[pd.DataFrame] = []
+        held: Rows | None = None  # the last bucket, which may go on in the next batch
         for x in batches:
             if not len(x):
                 continue
-            key = x[order].to_numpy()
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(x)]
-            for a, b in zip(cut, cut[1:], strict=False):
-                piece = x.iloc[a:b]
-                if held and tuple(held[-1][order].iloc[-1]) != tuple(key[a]):
-                    whole = pd.concat(held) if len(held) > 1 else held[0]
-                    if len(whole) > 1:
-                        yield bucket(whole)
-                    held = []
-                held.append(piece)
-        if held and sum(map(len, held)) > 1:
-            yield bucket(pd.concat(held))
+            out: list[pd.DataFrame] = []
+            edges = np.flatnonzero(np.diff(x["dim"].to_numpy())) + 1
+            for a, b in zip([0, *edges], [*edges, len(x)], strict=True):
+                rows = Rows.of(x.iloc[a:b])
+                if held is not None and held.same_place(rows):
+                    rows = held.joined(rows)
+                elif held is not None:
+                    out += found(held)
+                starts = np.r_[0, np.flatnonzero((rows.place[1:] != rows.place[:-1]).any(axis=1)) + 1, len(rows)]
+                for k in np.flatnonzero(np.diff(starts[:-1]) > 1):
+                    out += found(rows.cut(starts[k], starts[k + 1]))
+                held = rows.cut(starts[-2], starts[-1])
+            if out:
+                yield pd.concat(out)
+        if held is not None and (last := found(held)):
+            yield pd.concat(last)
 
     return placed.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "node long, links long, least long")
 
