@@ -2,11 +2,11 @@
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z; a document's set are its distinct 5-word shingles (as
 64-bit hashes), with fewer words the whole sequence. Documents with equal sets are one node. Every node has TREES
-signatures of DEPTH MinHash values; for each tree the nodes stand in the order of their signatures, and the WIDTH nodes that
-follow in that order are candidates if the common prefix has LEAST values or more. So where a region of the order is
-dense the neighbours share long prefixes, and where it is sparse short ones do: the depth adapts to the region, and no
-bucket is ever gathered. In regions with more nodes than that, the likeliest BEST of the WIDE nodes on either side, by two bits
-of each value of the whole signature, are candidates too. The orders are range-partitioned by tree, signature and node, which also splits regions of equal
+signatures of DEPTH MinHash values; for each tree the nodes stand in the order of their signatures, and neighbours in that order
+are candidates if the common prefix has LEAST values or more: all of a region of WIDTH + 1 nodes, and in larger ones the likeliest
+BEST of the WIDE nodes on either side, by two bits of each value of the whole signature. So where a region of the order is
+dense the candidates share long prefixes, and where it is sparse short ones do: the depth adapts to the region, and no
+bucket is ever gathered. The orders are range-partitioned by tree, signature and node, which also splits regions of equal
 signatures; neighbours across the partitions' borders are found from the rows at the borders.
 
 Candidates whose signatures agree too little for a link (five standard deviations below the threshold) are set aside. Of the others
@@ -113,21 +113,21 @@ def _first_of_each(key: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
 
 
 def _neighbours(tree: np.ndarray, sig: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in the order whose signatures share LEAST values: WIDTH apart at most, and the likeliest of those WIDE apart at most."""
+    """Pairs in the order whose signatures share LEAST values: all in small regions, else each node's likeliest among those WIDE apart at most."""
     same = (tree[1:] == tree[:-1]) & (sig[1:, :LEAST] == sig[:-1, :LEAST]).all(axis=1)
     region = np.r_[0, np.cumsum(~same)]
+    members = np.bincount(region)[region]
     near, far = [], []
     for k in range(1, min(WIDE, len(node) - 1) + 1):
         i = np.flatnonzero(region[k:] == region[:-k])
         if not len(i):
             break
         i = i[node[i] != node[i + k]]
-        if k <= WIDTH:
-            near.append(np.stack([i, i + k], axis=1))
-        else:
-            far.append(np.stack([i, i + k, _unlike(sketch[i], sketch[i + k])], axis=1))
-    if far:
-        wide = np.concatenate(far)
+        few = members[i] <= WIDTH + 1
+        near.append(np.stack([i[few], i[few] + k], axis=1))
+        i = i[~few]
+        far.append(np.stack([i, i + k, _unlike(sketch[i], sketch[i + k])], axis=1))
+    if far and len(wide := np.concatenate(far)):
         chosen = np.union1d(*(_first_of_each(wide[:, side], wide[:, 2], BEST) for side in (0, 1)))
         near.append(wide[chosen, :2])
     pairs = node[np.concatenate(near)] if near else np.empty((0, 2), np.int64)
