@@ -12,6 +12,10 @@ signatures; neighbours across the partitions' borders are found from the rows at
 Candidates whose signatures agree too little for a link (five standard deviations below the threshold) are set aside. Of the others
 each node's likeliest is confirmed first; the rest only where it joins groups that are still apart.
 
+Then every larger region that still holds several groups is compared as a whole: its nodes are dealt out as pairs of blocks, and a
+task confirms all pairs of its two blocks that are apart, likeliest first, and returns only links that join groups. So the candidates above
+decide what is found early, not what is found: every pair that shares LEAST values in some tree and could be a link is looked at.
+
 null or blank text: an empty set, linked with nothing. Repeated rows are copies of one another. Rows with a null doc_id have
 the component's smallest doc_id, which is null if all its rows have none.
 """
@@ -31,6 +35,8 @@ from .common import bounded_batches, components, keep_only, written
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
 BEST, WIDE = 3, 64
+#: Nodes of a block.
+BLOCK = 1024
 WORDS = 5
 #: Links have 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
@@ -174,10 +180,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found.where("a is not null").select("a", "b").union(border.select("a", "b")).distinct()
 
 
+def _bounds(percent: int) -> tuple[float, float]:
+    """The least share of equal values, and the most unlike two-bit values, that allow a link: five standard deviations off."""
+    t = percent / 100
+    p = 0.75 * (1 - t)
+    return t - 5 * math.sqrt(t * (1 - t) / _K), _K * p + 5 * math.sqrt(_K * p * (1 - p))
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, est) of the pairs whose signatures allow a link; est is the share of equal values."""
-    t = percent / 100
-    least = t - 5 * math.sqrt(t * (1 - t) / _K)
+    least, _ = _bounds(percent)
 
     def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -191,6 +203,14 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInPandas(estimate, "a long, b long, est double")
 
 
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets are a link."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def linked(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of (a, b) whose full sets are alike enough; texts: (node, text)."""
 
@@ -201,17 +221,76 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
                 for node, text in zip(x[c], x[f"t{c}"], strict=True):
                     if node not in sets:
                         sets[node] = shingles(text)
-            good = []
-            for a, b in zip(x["a"], x["b"], strict=True):
-                p, q = sets[a], sets[b]
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield x.loc[good, ["a", "b"]]
+            yield x.loc[[_alike(sets[a], sets[b], percent) for a, b in zip(x["a"], x["b"], strict=True)], ["a", "b"]]
 
     both = pairs.select("a", "b").join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return both.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long")
 
 
+def apart_in_regions(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """(tree, head, node, component, blocks): the nodes of larger regions that hold several components."""
+    own = nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sig")
+    heads = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * LEAST)))
+    rows = own.select("node", "component", F.posexplode(heads).alias("tree", "head"))
+    regions = rows.groupBy("tree", "head").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    regions = regions.where((F.col("n") > WIDTH + 1) & (F.col("low") < F.col("high"))).select("tree", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return rows.join(regions, ["tree", "head"]).select("tree", "head", "node", "component", "blocks")
+
+
+def _joining(x: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between components of two blocks of a region (or of one), as many as join what they join; a pair counts in the first tree where it meets."""
+    least, most = _bounds(percent)
+    tree, p, q = (int(x[c].iloc[0]) for c in ("tree", "p", "q"))
+    node, component, text = x["node"].to_numpy(), x["component"].to_numpy(), x["text"].to_numpy()
+    sig = np.frombuffer(b"".join(x["sig"]), ">u4").reshape(len(x), _K).astype(np.uint32)
+    sketch = np.frombuffer(b"".join(map(_sketch, x["sig"])), np.uint64).reshape(len(x), -1)
+    heads = sig.reshape(len(x), TREES, DEPTH)[:, :tree, :LEAST]
+    left, right = np.flatnonzero(x["block"] == p), np.flatnonzero(x["block"] == q)
+    pairs, ests = [], []
+    for i in left:
+        j = right[right > i] if p == q else right
+        j = j[component[j] != component[i]]
+        j = j[_unlike(sketch[j], sketch[i]) <= most]
+        est = (sig[j] == sig[i]).mean(axis=1)
+        new = (est >= least) & ~(heads[j] == heads[i]).all(axis=2).any(axis=1)
+        pairs.append(np.stack([np.full(new.sum(), i), j[new]], axis=1))
+        ests.append(est[new])
+    if not pairs:
+        return []
+    pairs = np.concatenate(pairs)[np.argsort(-np.concatenate(ests), kind="stable")]
+    parent = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+    found = []
+    for i, j in pairs.tolist():
+        a, b = root(component[i]), root(component[j])
+        if a == b:
+            continue
+        for k in (i, j):
+            if k not in sets:
+                sets[k] = shingles(text[k])
+        if _alike(sets[i], sets[j], percent):
+            parent[max(a, b)] = min(a, b)
+            found.append((min(node[i], node[j]), max(node[i], node[j])))
+    return found
+
+
+def joining(apart: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join all components of each region that a link joins; texts: (node, text)."""
+    rows = apart.join(nodes.select("node", "sig"), "node").join(texts, "node").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_joining(x, percent), columns=["a", "b"], dtype="int64")
+
+    return rows.select("tree", "head", "p", "q", "block", "node", "component", "sig", "text").groupBy("tree", "head", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of docs (doc_id, text)."""
     bounded_batches(docs.sparkSession)
@@ -222,14 +301,17 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = written(likely(candidates(nodes), nodes, percent), "pairs")
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = ends.join(nodes.select("node", "first_id"), "node")
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:  # rows that share a doc_id may have other texts
             yield x[[_node(shingles(t)) == n for t, n in zip(x["text"], x["node"], strict=True)]]
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "text").mapInPandas(own, "node long, text string")
-    texts = written(texts.dropDuplicates(["node"]), "texts")
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = some.join(nodes.select("node", "first_id"), "node")
+        found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "text").mapInPandas(own, "node long, text string")
+        return written(found.dropDuplicates(["node"]), "texts")
+
+    texts = texts_of(ends)
 
     both = pairs.union(pairs.select("b", "a", "est"))
     best = both.groupBy("a").agg(F.max(F.struct("est", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -239,7 +321,13 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     apart = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
     more = written(linked(apart, texts, percent), "links")
     if not more.isEmpty():
-        label = components(links.union(more))
+        links = links.union(more)
+        label = components(links)
+    apart = written(apart_in_regions(nodes, label), "apart")
+    if not apart.isEmpty():
+        more = written(joining(apart, nodes, texts_of(apart.select("node").distinct()), percent), "links")
+        if not more.isEmpty():
+            label = components(links.union(more))
 
     firsts = nodes.select("node", "first_id").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first_id")
     named = firsts.join(firsts.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")

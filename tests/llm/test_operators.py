@@ -77,6 +77,22 @@ def test_minhash_equals_all_pairs(spark, tiny):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_minhash_links_within_a_family(spark, monkeypatch):
+    """Siblings at 0.80 that share a template hide no pair at 0.856, in one block or several."""
+    common = " ".join(f"c{i}" for i in range(324))
+    made = {}
+    for k in range(150):
+        shared = " ".join(f"s{k}x{i}" for i in range(12))
+        for j in range(2):
+            made[2 * k + j] = f"{common} {shared} " + " ".join(f"u{k}x{j}x{i}" for i in range(28))
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    wanted = {d: d - d % 2 for d in made}
+    assert minhash.brute_force(made) == wanted
+    assert {r.doc_id: r.component_id for r in minhash.groups(docs).collect()} == wanted
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    assert {r.doc_id: r.component_id for r in minhash.groups(docs).collect()} == wanted
+
+
 def test_minhash_rows(spark, hostile, empty):
     got = minhash.groups(hostile).collect()
     assert len(got) == len(HOSTILE)
