@@ -4,7 +4,7 @@ Learning (never from held-out rows) takes a bounded sample of labelled rows, SAM
 Words, and stems that begin many words, that mark toxic texts far more often than clean ones are the lexicon. It is a
 trie; Levenshtein automata of its terms run over that trie together, as one automaton whose states are made when a word
 first needs them, so misspelled terms (an insertion, deletion, substitution or swap; two from TWO_FROM letters on) cost no more than exact ones.
-Words that clean samples use are not misspellings. Each hit is weighed by its context window: within quotation marks, or beside words
+Terms stand beside the stems they begin with, and a term, exact or misspelled, goes before a stem. Words that clean samples use are not misspellings. Each hit is weighed by its context window: within quotation marks, or beside words
 that report speech, it is a quotation and counts in another feature than abuse does. A logistic regression over the features gives the score.
 
 null text counts as empty. A text without hits has the score of the intercept. Without labelled rows of both classes all scores are 0.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held_out, written
+from .common import bounded_batches, held_out, keep_only, written
 
 SAMPLE = 6000
 #: Terms and stems, at most, and what makes one: toxic documents, how much more often than in clean ones, and evidence (natural
@@ -136,7 +136,18 @@ class Lexicon:
             if at < 0:
                 return STEM if stem else 0
             stem = stem or self.begins[at]
-        return STEM if stem and self.ends[at] != 1 else self.ends[at]
+        return self.ends[at] or (STEM if stem else 0)
+
+    def stemmed(self, word: str) -> int:
+        """STEM if the word begins with a stem, else 0."""
+        at = 0
+        for c in word:
+            if c not in self.child[at]:
+                break
+            at = self.child[at][c]
+            if self.stem[at]:
+                return STEM
+        return 0
 
 
 @dataclass
@@ -160,17 +171,16 @@ class Scorer:
         self.known: dict[str, int] = {}
 
     def strength(self, chunk: str) -> int:
-        """Of a run without white space: 0 no hit, 1 + edits of a hit."""
+        """Of a run without white space: 0 no hit, 1 + edits of a hit; STEM: only a stem."""
         found = self.known.get(chunk)
         if found is None:
             word = _EDGE.sub("", chunk)
             found = self.lexicon.match(word)
-            if not found and word:
-                plain = word.translate(_LOOKS)
-                found = self.lexicon.match(plain) if plain != word else 0
-                found = max(found, 2) if found and found != STEM else 0
+            if found in (0, STEM) and (plain := word.translate(_LOOKS)) != word:
+                looks = self.lexicon.match(plain)
+                found = max(looks, 2) if 0 < looks < STEM else found or looks
             if 1 < found < STEM and word in self.model.usual:
-                found = 0
+                found = self.lexicon.stemmed(word) or self.lexicon.stemmed(word.translate(_LOOKS))
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             if len(chunk) <= 64:
@@ -264,13 +274,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     for r in marked(stems.where(F.col("words") >= STEM_WORDS), STEM_LIFT).orderBy(F.desc("odds"), F.desc(F.length("stem")), "stem").limit(STEMS).collect():
         if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in chosen):
             chosen.append(r["stem"])
-    terms = [t for t in terms if not any(t.startswith(s) for s in chosen)]
     found = words.where("toxic = 0").select("word").distinct()
     model = Model(terms, chosen)
     model.usual = frozenset(r["word"] for r in _fuzzy(found, model).collect())
     sent = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("toxicity", lambda: None)
         scorer = Scorer(sent.value)
         for x in batches:
             yield pd.DataFrame({"toxic": x["toxic"], "x": [scorer.features(t) for t in x["text"]]})
@@ -285,6 +295,7 @@ def _fuzzy(words: DataFrame, model: Model) -> DataFrame:
     sent = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("toxicity", lambda: None)
         lexicon = Lexicon(sent.value.terms, sent.value.stems)
         for x in batches:
             yield x[[1 < lexicon.match(w) < STEM or 1 < lexicon.match(w.translate(_LOOKS)) < STEM for w in x["word"]]]
@@ -313,6 +324,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.drop("toxicity")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_only("toxicity", lambda: None)
         scorer = Scorer(sent.value)
         for x in batches:
             yield x.assign(toxicity=[scorer.score(t) for t in x[text]])

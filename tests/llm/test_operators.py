@@ -305,6 +305,19 @@ def test_levenshtein_automaton():
     assert lexicon.match("loweichen") == toxicity.STEM and lexicon.match("lowe") == 0
 
 
+def test_terms_beside_their_stems(spark):
+    lexicon = toxicity.Lexicon(["loser", "worthless"], ["lose", "worth"])
+    assert [lexicon.match(w) for w in ("loser", "looser", "lsoer", "losr", "worthles", "worthwhile")] == [1, 2, 2, 2, 2, toxicity.STEM]
+    scorer = toxicity.Scorer(toxicity.Model(["loser"], ["lose", "idio"], frozenset(["losers"])))
+    assert [scorer.strength(w) for w in ("l0ser", "lo5er!", "loser", "losers", "1dioma", "plain")] == [2, 2, 1, toxicity.STEM, toxicity.STEM, 0]
+
+    said = [f"you {w} of this place" for w in ("loser", "loserling", "loserish", "loserhood", "losering")]
+    docs = spark.createDataFrame([(d, said[d % 5] if d % 2 else "the weather of this place") for d in range(400)], "doc_id long, text string")
+    model = toxicity.learn(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert any("loser".startswith(s) for s in model.stems) and "loser" in model.terms
+    assert toxicity.Scorer(model).strength("l0ser") == 2
+
+
 def test_quotation_is_not_abuse():
     scorer = toxicity.Scorer(toxicity.Model(["idiot"], [], frozenset(), [-5.0, 4.0, 2.0, -1.0, 0.5, 0.0, 0.0]))
     assert scorer.score("you are an idi0t") > 0.3 > scorer.score('he said "what an idiot he is" and left')
