@@ -263,3 +263,46 @@ def page_metadata(spark, sf_dir):
     made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://x.org/"), "source").alias("url"), F.expr(MARKDOWN).alias("md"))
     found = S.page_metadata(F.col("url"), F.lit(""), F.col("md"))
     return made.select("doc_id", *[found[n].alias(n) for n in ("url", "domain", "word_count", "character_count", "link_count", "image_ref_count")])
+
+
+#: The same with the whole text as it is. These queries have no SQL; tests hold them against plain Python.
+WHOLE = MARKDOWN.replace("replace(replace(substr(text, 1, 80), chr(10), ' '), '$', '')", "text")
+
+
+def _whole(name, made):
+    @R.add(f"{name}_whole")
+    def query(spark, sf_dir):
+        return _made(spark, sf_dir, WHOLE).select("doc_id", made(F.col("md")).alias("tidy"))
+
+
+for _name, _pass in {"md_to_text": M.to_text, "md_links": M.tidy_links, "md_lists": M.tidy_lists, "md_headings": M.tidy_headings, "md_quotes": M.tidy_quotes, "md_tables": M.tidy_tables, "md_clean_up": M.clean_up, "md_format": M.format_markdown, "markdown_structure": S.has_markdown}.items():
+    _whole(_name, _pass)
+
+
+@R.add("md_typography_whole")
+def md_typography_whole(spark, sf_dir):
+    return _made(spark, sf_dir, "concat(lang, ' -- a  b , c.Then ', text)").select("doc_id", M.typography(F.col("md")).alias("tidy"))
+
+
+@R.add("md_line_classes_whole")
+def md_line_classes_whole(spark, sf_dir):
+    rows = _made(spark, sf_dir, WHOLE).select(F.explode(T.lines(F.col("md"))).alias("s"))
+    return rows.groupBy(M.line_class(F.col("s")).alias("line_class")).agg(F.count("*").alias("n"), F.count_if(M.continues_list(F.col("s"))).alias("continued"))
+
+
+@R.add("quality_signals_whole")
+def quality_signals_whole(spark, sf_dir):
+    found = S.counters(F.col("md"))
+    return _made(spark, sf_dir, WHOLE).select("doc_id", *[found[n].alias(n) for n in _signals("md")])
+
+
+@R.add("heuristic_score_whole")
+def heuristic_score_whole(spark, sf_dir):
+    return _made(spark, sf_dir, WHOLE).select("doc_id", F.round(S.heuristic_score(F.col("md")), 6).alias("score"))
+
+
+@R.add("page_metadata_whole")
+def page_metadata_whole(spark, sf_dir):
+    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://x.org/"), "source").alias("url"), F.expr(WHOLE).alias("md"))
+    found = S.page_metadata(F.col("url"), F.lit(""), F.col("md"))
+    return made.select("doc_id", *[found[n].alias(n) for n in ("url", "domain", "word_count", "character_count", "link_count", "image_ref_count")])
