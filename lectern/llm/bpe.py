@@ -7,8 +7,8 @@ are the ones that the two sides already have. Adjacent tokens that are valid in
 joined ids are exactly those of the whole.
 
 Only word BPE files are taken whose normaliser is NFC, white space to blanks, lower case, whose pre-tokens hold no white
-space, and whose words end in a marker. Texts with characters beyond Latin Extended-B, or with a special token's string,
-are left to the tokenizers library, so that its Unicode tables decide there.
+space, and whose words end in a marker. Runs without white space are normalised, cut and encoded by themselves, in any script; a special token's string is
+cut out before. Only a run with a character that this Python's Unicode tables don't know yet (category Cn) is left to the tokenizers library.
 
 null text counts as empty (no ids); an empty text gives no ids. Further columns of the input stay.
 """
@@ -17,12 +17,16 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
-import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +35,37 @@ from .common import bounded_batches, keep_only
 
 #: Characters of a text from which its leaves become rows of their own.
 SEGMENT = 65_536
-#: Bytes of a pre-token from which it is halved.
-LEAF = 384
+#: Bytes of a pre-token from which it is halved, and of a half that is halved no more.
+LONG, LEAF = 384, 64
 #: Words that a worker remembers.
 REMEMBERED = 120_000
 
-_LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-#: The file's pre-token pattern within the characters of the fast path.
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_LETTER}{_DIGIT}]+")
-#: Beyond the fast path: other scripts, a letter whose lower case is two characters, separators that str.split takes and the file doesn't.
-_OTHER = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
-_SPACE_AT_END, _SPACE_AT_START = re.compile(r"\S*\Z"), re.compile(r"\S*")
+#: The file's pre-token pattern.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Separators that str.split takes and the file doesn't.
+_NO_SPACE = regex.compile(r"[\x1c-\x1f]")
+_RUN = regex.compile(r"[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def normal(text: str) -> str:
+    """NFC and lower case, each character by itself (str.lower looks at what stands around a capital sigma)."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def unknown(text: str) -> bool:
+    """Whether some character is unassigned in this Python's Unicode tables."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
+@functools.cache
+def _seconds() -> frozenset[str]:
+    """Characters that NFC may put together with the one before: second parts of decompositions, and Hangul vowels and finals."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset(chr(int(x[1], 16)) for x in parts if len(x) == 2 and x[0][0] != "<") | frozenset(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+
+
+def runs(text: str) -> list[str]:
+    return _RUN.findall(text) if _NO_SPACE.search(text) else text.split()
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -96,20 +120,21 @@ class Codec:
     def __init__(self, said: str, ids: dict[bytes, int]):
         import tiktoken
 
-        self.said = said
+        self.said, self.rank = said, ids
         self.spelled = {i: b for b, i in ids.items()}
-        self.merged = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ids, special_tokens={})._core_bpe.encode_single_piece
+        self.whole = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ids, special_tokens={}).encode_ordinary
         config = json.loads(said)
         size = max([*config["model"]["vocab"].values(), *(t["id"] for t in config["added_tokens"])]) + 1
         self.tokens = [""] * size
         for token, i in [*config["model"]["vocab"].items(), *((t["content"], t["id"]) for t in config["added_tokens"])]:
             self.tokens[i] = token
-        self.special = [t["content"] for t in config["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
 
     @functools.cached_property
     def library(self):
-        """The tokenizers library's own tokenizer; few texts need it."""
+        """The tokenizers library's own tokenizer, for characters that are newer than Python's tables."""
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_str(self.said)
@@ -117,12 +142,45 @@ class Codec:
         own.no_padding()
         return own
 
-    # a pre-token, as bytes that end in the marker
-    def piece(self, b: bytes) -> list[int]:
+    def merged(self, b: bytes) -> list[int]:
+        """The ids of bytes by merges of least rank, alone; a blank at the end is the marker."""
+        if len(b) > LEAF:
+            try:
+                return self.whole(b.decode())
+            except UnicodeDecodeError:  # the bytes begin or end within a character
+                pass
+        parts = [b[i : i + 1] for i in range(len(b))]
+        if b[-1:] == b" ":
+            parts[-2:] = [b[-2:]]
+        rank, n = self.rank, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        todo = [(r, i) for i in range(n - 1) if (r := rank.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(todo)
+        while todo:
+            r, i = heapq.heappop(todo)
+            j = after[i] if parts[i] else n
+            if j >= n or rank.get(parts[i] + parts[j]) != r:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = parts[i] + parts[j], b""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get(parts[i] + parts[k])) is not None:
+                    heapq.heappush(todo, (r, i))
+            if (h := before[i]) >= 0 and (r := rank.get(parts[h] + parts[i])) is not None:
+                heapq.heappush(todo, (r, h))
+        return [rank[x] for x in parts if x]
+
+    def piece(self, text: str) -> list[int]:
+        """The ids of a pre-token."""
+        b = text.encode() + b" "
+        return self.whole(text + " ") if len(b) <= LONG else self._halved(b)
+
+    def _halved(self, b: bytes) -> list[int]:
         if len(b) <= LEAF:
             return self.merged(b)
         half = len(b) // 2
-        return self.joined(self.piece(b[:half]), self.piece(b[half:]))
+        return self.joined(self._halved(b[:half]), self._halved(b[half:]))
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of two adjacent parts' bytes together, from the ids of each."""
@@ -134,58 +192,78 @@ class Codec:
                 return left[:-k] + middle + right[k:]
             k *= 2
 
-    def chunk(self, word: str) -> list[int]:
-        """ids of lower-case text without white space."""
-        return [i for w in _PIECE.findall(word) for i in self.piece(w.encode() + b" ")]
-
-    def plain(self, text: str) -> bool:
-        return not _OTHER.search(text) and not any(s in text for s in self.special)
+    def items(self, run: str) -> list[str | int]:
+        """Pre-tokens of a run as it stands in the text, and ids of special tokens (or of what only the library knows)."""
+        out: list[str | int] = []
+        for part in self.cut.split(run) if self.cut else [run]:
+            if part in self.special:
+                out.append(self.special[part])
+            elif unknown(part):
+                out += self.library.encode(part, add_special_tokens=False).ids
+            else:
+                out += _PIECE.findall(normal(part))
+        return out
+
+    def encoded(self, items: list[str | int]) -> array:
+        return array("I", [i for x in items for i in ((x,) if isinstance(x, int) else self.piece(x))])
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
         if not text:
             return b""
-        if not self.plain(text):
-            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        words = text.lower().split()
+        if any(s in text for s in self.special) or unknown(text):
+            return b"".join(self.encoded(self.items(r)).tobytes() for r in runs(text))
+        words = runs(normal(text))
         known = self.words
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
+            out = []
             for w in words:
-                if w not in known:
-                    if len(w) > 64:  # long words are rare and not kept
-                        return b"".join(known[x] if x in known else array("I", self.chunk(x)).tobytes() for x in words)
-                    known[w] = array("I", self.chunk(w)).tobytes()
-            return b"".join(map(known.__getitem__, words))
+                ids = known.get(w)
+                if ids is None:
+                    ids = self.encoded(_PIECE.findall(w)).tobytes()
+                    if len(w) <= 64:  # long words are rare and not kept
+                        known[w] = ids
+                out.append(ids)
+            return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """What the library's decode gives without a decoder: the tokens with blanks between them."""
         return " ".join(map(self.tokens.__getitem__, array("I", ids)))
 
+    def _apart(self, tail: str, head: str) -> bool:
+        """Whether what stands on either side of a cut is normalised, and searched for special tokens, by itself."""
+        if unicodedata.combining(head[0]) or head[0] in _seconds() or unknown(tail) or unknown(head):
+            return False
+        return not any(s in tail[1 - len(s) :] + head[: len(s) - 1] for s in self.special)
+
     def join_texts(self, left: tuple[str, bytes], right: tuple[str, bytes]) -> tuple[str, bytes]:
-        """Two adjacent segments of lower-case text with their ids, as one.
+        """Two adjacent segments of a text with their ids, as one.
 
-        Only the unsplit runs of characters that meet at the cut can change. A window of k pre-tokens on
-        each side is cut and encoded anew, and grows until its outermost pre-tokens are those of the two sides.
+        Only the run that the cut goes through can change. A window of k pre-tokens on each side is cut and encoded anew, and grows until its
+        outermost pre-tokens are those of the two sides. A cut through a character's marks or a special token takes the run anew.
         """
         (lt, li), (rt, ri) = left, right
-        tail = lt[_last_run(lt) :]
-        head = _SPACE_AT_START.match(rt)[0]
-        if tail and head:
-            lp, rp, k = _PIECE.findall(tail), _PIECE.findall(head), 2
-            while True:
-                a, b = lp[-k:], rp[:k]
-                middle = _PIECE.findall("".join(a + b))
-                if (k >= len(lp) or middle[0] == a[0]) and (k >= len(rp) or middle[-1] == b[-1]):
-                    break
-                k *= 2
-            count = lambda pieces: 4 * sum(len(self.piece(p.encode() + b" ")) for p in pieces)
-            ids = array("I", [i for p in middle for i in self.piece(p.encode() + b" ")]).tobytes()
-            return lt + rt, li[: len(li) - count(a)] + ids + ri[count(b) :]
-        return lt + rt, li + ri
+        tail, head = lt[_last_run(lt) :], rt[: _first_run(rt)]
+        if not tail or not head:
+            return lt + rt, li + ri
+        lp, rp = self.items(tail), self.items(head)
+        size = lambda items: 4 * len(self.encoded(items))
+        if not self._apart(tail, head):
+            return lt + rt, li[: len(li) - size(lp)] + self.encoded(self.items(tail + head)).tobytes() + ri[size(rp) :]
+        # special tokens bound what a window may hold
+        lp = lp[next((i + 1 for i in range(len(lp) - 1, -1, -1) if isinstance(lp[i], int)), 0) :]
+        rp = rp[: next((i for i, x in enumerate(rp) if isinstance(x, int)), len(rp))]
+        k = 2
+        while True:
+            a, b = lp[-k:], rp[:k]
+            middle = _PIECE.findall("".join(a + b))
+            if (k >= len(lp) or middle[0] == a[0]) and (k >= len(rp) or middle[-1] == b[-1]):
+                return lt + rt, li[: len(li) - size(a)] + self.encoded(middle).tobytes() + ri[size(b) :]
+            k *= 2
 
     def tree(self, parts: list[tuple[str, bytes]]) -> bytes:
         while len(parts) > 1:
@@ -193,18 +271,23 @@ class Codec:
         return parts[0][1] if parts else b""
 
 
-def _last_run(text: str) -> int:
-    """Where the unsplit run at the text's end begins."""
-    if text[-1:].isspace():
-        return len(text)
-    return len(text) - len(text.split()[-1]) if len(text) < 4096 else (lambda near: len(text) - len(near.split()[-1]) if len(near.split()) > 1 or near[:1].isspace() else _slow_run(text))(text[-2048:])
+def _first_run(text: str) -> int:
+    """Where the run at the text's beginning ends."""
+    found = _RUN.match(text)
+    return found.end() if found else 0
 
 
-def _slow_run(text: str) -> int:
-    i = len(text)
-    while i and not text[i - 1].isspace():
-        i -= 1
-    return i
+def _last_run(text: str) -> int:
+    """Where the run at the text's end begins."""
+    k = 256
+    while True:
+        near = text[-k:]
+        found = _RUN.findall(near)
+        if not found or not near.endswith(found[-1]):
+            return len(text)
+        if len(found[-1]) < len(near) or k >= len(text):
+            return len(text) - len(found[-1])
+        k *= 4
 
 
 _codecs: dict[int, Codec] = {}
@@ -236,53 +319,60 @@ def shared_codec(spark, path: str) -> _Shared:
 
 
 def encode_with(df: DataFrame, path: str, make, schema: T.StructType, text: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """Encodes df[text] and applies make(codec, rows, ids) -> DataFrame to batches; rows lack the text.
+    """Encodes df[text] and applies make(codec, rows, ids) -> pyarrow.Table to batches; rows is a table of the other columns.
 
     Short texts are encoded where they are read. Texts over `segment` characters are cut into segments that are rows of their
-    own, encoded in parallel, and joined by one task per text.
+    own, encoded in parallel, and joined by one task per text. The other columns pass as Arrow arrays, untouched.
     """
     bounded_batches(df.sparkSession)
     shared = shared_codec(df.sparkSession, path)
     rest = [c for c in df.columns if c != text]
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], body.alias("body"))
-    names = dict(zip([f"c{i}" for i in range(len(rest))], rest, strict=True))
     kept = [f"c{i}" for i in range(len(rest))]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    df = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(rest, kept, strict=True)], body.alias("body"))
+
+    def table(x: pa.Table) -> pa.Table:
+        return x.select(kept).rename_columns(rest)
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for x in batches:
-            yield make(codec, x[kept].rename(columns=names), [codec.ids(t) for t in x["body"]])
+            yield from make(codec, table(pa.Table.from_batches([x])), [codec.ids(t) for t in x.column("body").to_pylist()]).to_batches()
 
     size = F.length("body")
-    short = df.where(size <= segment).mapInPandas(whole, schema)
+    short = df.where(size <= segment).mapInArrow(whole, schema)
     cut = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / segment).cast("int")), lambda i: F.substring("body", i * segment + 1, F.lit(segment)))
     # the number of a row is made before its segments are, or each segment would have its own
     long = df.where(size > segment).withColumn("row", F.monotonically_increasing_id())
     long = long.select(*kept, "row", F.posexplode(cut).alias("part", "body"))
     leaf = T.StructType([*long.schema.fields, T.StructField("ids", T.BinaryType())])
 
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for x in batches:
-            yield x.assign(ids=[codec.ids(t) if codec.plain(t) else None for t in x["body"]])
+            ids = pa.array([codec.ids(t) for t in x.column("body").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*x.columns, ids], names=leaf.names)
 
-    def join(x: pd.DataFrame) -> pd.DataFrame:
+    def join(x: pa.Table) -> pa.Table:
         codec = codec_of(shared)
-        x = x.sort_values("part")
-        body = "".join(x["body"])
-        ids = codec.tree([(t.lower(), i) for t, i in zip(x["body"], x["ids"], strict=True)]) if codec.plain(body) else codec.ids(body)
-        return make(codec, x[kept].head(1).rename(columns=names).reset_index(drop=True), [ids])
+        x = x.sort_by("part")
+        ids = codec.tree(list(zip(x.column("body").to_pylist(), x.column("ids").to_pylist(), strict=True)))
+        return make(codec, table(x.slice(0, 1)), [ids])
+
+    parts = long.repartition(F.xxhash64("row", "part")).mapInArrow(leaves, leaf)
+    return short.union(parts.groupBy("row").applyInArrow(join, schema))
+
 
-    parts = long.repartition(F.xxhash64("row", "part")).mapInPandas(leaves, leaf)
-    return short.union(parts.groupBy("row").applyInPandas(join, schema))
+def listed(ids: list[bytes]) -> pa.Array:
+    """ids as a column of lists of 32-bit integers."""
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(i) // 4 for i in ids])].astype(np.int32), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", segment: int = SEGMENT) -> DataFrame:
     """df without the text, with its ids as array<int> in `out` (a column of that name is replaced)."""
     df = df.drop(out) if out != text else df
     schema = T.StructType([*(f for f in df.schema.fields if f.name != text), T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return encode_with(df, path, lambda _, rows, ids: rows.assign(**{out: [array("i", i).tolist() for i in ids]}), schema, text, segment)
+    return encode_with(df, path, lambda _, rows, ids: rows.append_column(out, listed(ids)), schema, text, segment)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -299,10 +389,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    docs = docs.select("doc_id", "text")
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
 
-    def make(codec: Codec, rows: pd.DataFrame, ids: list[bytes]) -> pd.DataFrame:
+    def make(codec: Codec, rows: pa.Table, ids: list[bytes]) -> pa.Table:
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return pd.DataFrame({"doc_id": rows["doc_id"], "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [sha(i) for i in ids], "decoded_sha256": [sha(codec.decode(i).encode()) for i in ids]})
+        rows = rows.append_column("n_tokens", pa.array([len(i) // 4 for i in ids], pa.int64()))
+        return rows.append_column("ids_sha256", pa.array([sha(i) for i in ids], pa.string())).append_column("decoded_sha256", pa.array([sha(codec.decode(i).encode()) for i in ids], pa.string()))
 
-    return encode_with(docs.select("doc_id", "text"), path, make, schema)
+    return encode_with(docs, path, make, schema)

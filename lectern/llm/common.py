@@ -6,10 +6,13 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +35,29 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def appended(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[list[str | None]], list[list]]], without: bool = False) -> DataFrame:
+    """df with more columns out of df[text]; columns of their names are replaced, and with `without` the text itself is left out.
+
+    fields are the new columns in DDL; make() is called once in each task and gives a function from the texts of a batch to one list for each new
+    column. The other columns pass as Arrow arrays, so that no null makes floating-point numbers of the integers beside it.
+    """
+    bounded_batches(df.sparkSession)
+    new = T._parse_datatype_string(fields)
+    stay = [f for f in df.schema.fields if f.name not in new.names and not (without and f.name == text)]
+    kept = [f.name for f in stay]
+    columns = list(dict.fromkeys([*kept, text]))
+    schema = T.StructType([*stay, *new.fields])
+    types = to_arrow_schema(new).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = make()
+        for x in batches:
+            made = said(x.column(columns.index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays([x.column(columns.index(c)) for c in kept] + [pa.array(v, t) for v, t in zip(made, types, strict=True)], names=[*kept, *new.names])
+
+    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+
 _kept: dict[str, Callable[[], None]] = {}
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,27 +111,30 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     doc_id, start, length, ids (little-endian, binary), doc_tokens, and part and pos: the place among the pieces of that
     length that one task made.
     """
-    schema = "doc_id long, start long, length int, ids binary, doc_tokens long, part int, pos long"
+    docs = docs.select("doc_id", "text")
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("start long, length int, ids binary, doc_tokens long, part int, pos long").fields])
     end = array("I", [end_id]).tobytes()
     seen: dict[tuple, Counter] = {}
 
-    def make(_: Codec, rows: pd.DataFrame, ids: list[bytes]) -> pd.DataFrame:
+    def make(_: Codec, rows: pa.Table, ids: list[bytes]) -> pa.Table:
         task = TaskContext.get()
         key = (task.stageId(), task.partitionId(), task.taskAttemptId())
         if key not in seen:
             seen.clear()
         count, out = seen.setdefault(key, Counter()), []
-        for doc_id, i in zip(rows["doc_id"], ids, strict=True):
+        for row, i in enumerate(ids):
             whole = i + end
             n = len(whole) // 4
             for start in range(0, n, window):
                 cut = whole[4 * start : 4 * (start + window)]
                 length = len(cut) // 4
-                out.append((doc_id, start, length, cut, n, task.partitionId(), count[length]))
+                out.append((row, start, length, cut, n, task.partitionId(), count[length]))
                 count[length] += 1
-        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "part", "pos"])
+        row, *made = zip(*out, strict=True) if out else [()] * 7
+        made = [pa.array(v, t) for v, t in zip(made, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+        return pa.Table.from_arrays([rows.column("doc_id").take(pa.array(row, pa.int64())), *made], names=schema.names)
 
-    return encode_with(docs.select("doc_id", "text"), path, make, T._parse_datatype_string(schema))
+    return encode_with(docs, path, make, schema)
 
 
 def place(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -150,19 +154,20 @@ def place(lengths: DataFrame, window: int = WINDOW) -> DataFrame:
     schema = T.StructType([*lengths.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = lengths.columns
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            rank, length = (x["base"] + x["pos"]).to_numpy(), x["length"].to_numpy()
-            seq, off = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            number = lambda name, x=x: x.column(name).to_numpy(zero_copy_only=False)
+            rank, length = number("base") + number("pos"), number("length")
+            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
                 first, window_, each, offset = sent.value[int(n)]
                 k = np.searchsorted(first, rank[at], side="right") - 1
                 over = rank[at] - first[k]
                 seq[at], off[at] = window_[k] + over // each[k], offset[k] + over % each[k] * n
-            yield x[names].assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*(x.column(n) for n in names), pa.array(seq), pa.array(off)], names=schema.names)
 
-    return ranked.mapInPandas(placed, schema)
+    return ranked.mapInArrow(placed, schema)
 
 
 def _before():

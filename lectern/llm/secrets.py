@@ -12,18 +12,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import re._constants as C
 import re._parser as parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import appended
 
 #: Alternatives of literal text that a part of a pattern may spell, at most; beyond, the part counts as unknown.
 SPELLINGS = 64
@@ -182,39 +180,34 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def find(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", out: str = "secrets") -> DataFrame:
     """df with the spans of every rule in `out` (a column of that name is replaced), by start, then in the order of the rules."""
-    bounded_batches(df.sparkSession)
     kinds = [r.kind for r in rules]
-    df = df.drop(out)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(SPANS))])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scanner = Scanner(rules)
-        for x in batches:
-            spans = scanner.spans([t or "" for t in x[text]])
-            yield x.assign(**{out: [[{"kind": kinds[k], "start": s, "end": e} for s, k, e in y] for y in spans]})
+        return lambda texts: [[[{"kind": kinds[k], "start": s, "end": e} for s, k, e in y] for y in scanner.spans([t or "" for t in texts])]]
 
-    return df.mapInPandas(scan, schema)
+    return appended(df, text, f"`{out}` {SPANS}", make)
 
 
 def redact(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every secret in df[text] replaced; overlapping spans are replaced as one. null stays null."""
-    bounded_batches(df.sparkSession)
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scanner = Scanner(rules)
-        for x in batches:
-            texts = list(x[text])
-            for i, spans in enumerate(scanner.spans([t or "" for t in texts])):
-                if spans:
-                    parts, at = [], 0
-                    for s, _, e in spans:
-                        if s >= at:
-                            parts += [texts[i][at:s], mark]
-                        at = max(at, e)
-                    texts[i] = "".join([*parts, texts[i][at:]])
-            yield x.assign(**{text: texts})
-
-    return df.mapInPandas(clean, df.schema)
+        return lambda texts: [[_without(t, spans, mark) for t, spans in zip(texts, scanner.spans([t or "" for t in texts]), strict=True)]]
+
+    return appended(df, text, f"`{text}` string", make).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _without(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:
+    if not spans:
+        return text
+    parts, at = [], 0
+    for s, _, e in spans:
+        if s >= at:
+            parts += [text[at:s], mark]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
 
 
 def digests(docs: DataFrame) -> DataFrame:

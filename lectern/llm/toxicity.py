@@ -22,9 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bounded_batches, held_out, keep_only, written
+from .common import appended, held_out, keep_only, written
 
 SAMPLE = 6000
 #: Terms and stems, at most, and what makes one: toxic documents, how much more often than in clean ones, and evidence (natural
@@ -319,17 +318,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> l
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with toxicity (0 to 1) of docs[text]; a column of that name is replaced."""
-    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS, STEMS and the sample
-    docs = docs.drop("toxicity")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         keep_only("toxicity", lambda: None)
         scorer = Scorer(sent.value)
-        for x in batches:
-            yield x.assign(toxicity=[scorer.score(t) for t in x[text]])
+        return lambda said: [list(map(scorer.score, said))]
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return appended(docs, text, "toxicity double", make)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
