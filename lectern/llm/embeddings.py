@@ -6,10 +6,13 @@ cosine, code . y / f, whose error is about sqrt((1 - f^2) / (f^2 (d - 1))). Only
 are recomputed, in double precision; nothing is linked without that.
 
 Pairs to estimate share BITS bits of a code in one of several tables; bits grow with the logarithm of the number of vectors, and tables so
-that a pair at the threshold is missed with probability MISS at most. A pair counts in the first table where it meets, so none has to be
-remembered. Buckets over BLOCK vectors are dealt out as pairs of blocks. Equal vectors are one, with a weight.
+that a pair at the threshold is missed with probability MISS at most. What is dealt out to the tables is only the code of all tables' bits: a pair is
+looked at if so few of those differ as the threshold allows (EPSILON standard deviations), and counts in the first table where it meets, so none has to be
+remembered. The vectors themselves go only to buckets where they have such a pair. Buckets over BLOCK vectors are dealt out as pairs of blocks.
+Equal vectors are one, with a weight and a number of its own, whatever their vec_ids.
 
 Vectors that are null, empty, zero, hold null or non-finite components, or have no vec_id link with nothing. Vectors of other dimensions are not compared.
+Rows that share a vec_id but not the vector each have their own vector's links. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, components, written
 
@@ -29,11 +33,9 @@ THRESHOLD = 0.95
 MISS = 1e-3
 #: Half-width of the confidence interval, in units of the error.
 EPSILON = 5.0
-BLOCK = 1024
+BLOCK = 4096
 #: Vectors of a bucket, on average, if all were unrelated.
-FILL = 16
-
-_FIELDS = "node long, weight long, dim int, vec binary, code binary, f double, keys array<int>"
+FILL = 1024
 
 
 def tables(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -55,8 +57,42 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class Codes:
+    """Codes of one batch or bucket: packed words, and the key in each table."""
+
+    def __init__(self, packed: list[bytes], bits: int, count: int):
+        raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+        self.words, self.bits = np.ascontiguousarray(raw).view(np.uint64), bits * count
+        x = np.unpackbits(raw, axis=1)[:, : bits * count].reshape(len(raw), count, bits)
+        self.keys = x.astype(np.int32) @ (1 << np.arange(bits, dtype=np.int32))
+
+    def pairs(self, table: int, rows: np.ndarray, cols: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j) of the pairs of rows and cols whose codes allow a link and that no earlier table has. One word is compared first."""
+        first, most = _differ(min(64, self.bits), threshold), _differ(self.bits, threshold)
+        within = rows is cols
+        for low in range(0, len(rows), 256):
+            some = rows[low : low + 256]
+            i, j = np.nonzero(np.bitwise_count(self.words[some, None, 0] ^ self.words[None, cols, 0]) <= first)
+            i, j = some[i], cols[j]
+            if within:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 65_536):
+                p, q = i[at : at + 65_536], j[at : at + 65_536]
+                near = np.bitwise_count(self.words[p] ^ self.words[q]).sum(axis=1, dtype=np.int64) <= most
+                p, q = p[near], q[near]
+                new = ~(self.keys[p, :table] == self.keys[q, :table]).any(axis=1)
+                yield p[new], q[new]
+
+
+def _differ(bits: int, threshold: float) -> float:
+    """The most bits of so many that may differ at the threshold."""
+    p = math.acos(threshold) / math.pi
+    return bits * p + EPSILON * math.sqrt(bits * p * (1 - p)) + 1e-9
+
+
 def coded(vectors: DataFrame, bits: int, count: int) -> DataFrame:
-    """vectors (node, weight, embedding) with code, factor and keys."""
+    """(node, dim, f, code) of vectors (node, embedding); a code is packed into 64-bit words."""
+    width = -(-bits * count // 64) * 8
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn: dict[int, list[np.ndarray]] = {}
@@ -66,150 +102,133 @@ def coded(vectors: DataFrame, bits: int, count: int) -> DataFrame:
                     turn[dim] = rotations(dim, math.ceil(bits * count / dim))
                 v = unit(np.stack(x["embedding"].to_list()).astype(np.float64))
                 turned = [v @ r.T for r in turn[dim]]
-                signs = np.concatenate([t >= 0 for t in turned], axis=1)[:, : bits * count].reshape(len(x), count, bits)
-                keys = signs.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                yield pd.DataFrame({"node": x["node"].to_numpy(), "weight": x["weight"].to_numpy(), "dim": dim, "vec": [r.tobytes() for r in v], "code": [r.tobytes() for r in np.packbits(turned[0] >= 0, axis=1)], "f": np.abs(turned[0]).sum(axis=1) / math.sqrt(dim), "keys": list(keys.astype(np.int32))})
-
-    return vectors.mapInPandas(code, _FIELDS)
-
-
-class Rows:
-    """Rows of one dimension as arrays."""
-
-    FIELDS = ("node", "weight", "blk", "f", "v", "sign", "keys", "place")
-
-    def __init__(self, dim: int, **fields: np.ndarray):
-        self.dim = dim
-        for name in self.FIELDS:
-            setattr(self, name, fields[name])
-
-    @classmethod
-    def of(cls, x: pd.DataFrame) -> Rows:
-        dim = int(x["dim"].iloc[0])
-        packed = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
-        sign = np.unpackbits(packed, axis=1)[:, :dim].astype(np.float32) * 2 - 1
-        v = np.frombuffer(b"".join(x["vec"]), np.float64).reshape(len(x), dim)
-        return cls(dim, **{n: x[n].to_numpy() for n in ("node", "weight", "blk", "f")}, v=v, sign=sign, keys=np.stack(x["keys"].to_list()), place=x[["t", "key", "lo", "hi"]].to_numpy())
-
-    def __len__(self) -> int:
-        return len(self.node)
-
-    def cut(self, a: int, b: int) -> Rows:
-        return Rows(self.dim, **{n: getattr(self, n)[a:b] for n in self.FIELDS})
-
-    def joined(self, other: Rows) -> Rows:
-        return Rows(self.dim, **{n: np.concatenate([getattr(self, n), getattr(other, n)]) for n in self.FIELDS})
-
-    def same_place(self, other: Rows) -> bool:
-        return self.dim == other.dim and (self.place[-1] == other.place[0]).all()
-
-
-def pairs_of(x: Rows, rotation: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the links within one bucket, or between two blocks of one, that no earlier table has."""
-    n, (table, _, low, high) = len(x), x.place[0]
-    # of two blocks only pairs across, of one block each pair once
-    rows, cols = (np.flatnonzero(x.blk == low), np.flatnonzero(x.blk == high)) if low != high else (np.arange(n),) * 2
-    f = x.f[rows, None]
-    turned = (x.v[cols] @ rotation.T).astype(np.float32)
-    estimate = (x.sign[rows] @ turned.T) / (math.sqrt(x.dim) * f)
-    error = EPSILON * np.sqrt(np.maximum(0, 1 - f**2) / (f**2 * max(1, x.dim - 1)))
-    i, j = np.nonzero(estimate + error + 1e-5 >= threshold)
-    i, j = rows[i], cols[j]
-    if low == high:
-        i, j = i[i < j], j[i < j]
-    out = [(np.empty(0, np.int64),) * 2]
-    for at in range(0, len(i), 65_536):
-        p, q = i[at : at + 65_536], j[at : at + 65_536]
-        new = ~(x.keys[p, :table] == x.keys[q, :table]).any(axis=1)
-        p, q = p[new], q[new]
-        near = np.einsum("ij,ij->i", x.v[p], x.v[q]) >= threshold
-        out.append((p[near], q[near]))
-    return tuple(np.concatenate(y) for y in zip(*out, strict=True))
-
-
-def bucket_links(x: Rows, rotation: np.ndarray, threshold: float) -> pd.DataFrame | None:
+                packed = np.packbits(np.concatenate([t >= 0 for t in turned], axis=1)[:, : bits * count], axis=1)
+                packed = np.pad(packed, ((0, 0), (0, width - packed.shape[1])))
+                yield pd.DataFrame({"node": x["node"].to_numpy(), "dim": dim, "f": np.abs(turned[0]).sum(axis=1) / math.sqrt(dim), "code": [r.tobytes() for r in packed]})
+
+    return vectors.mapInPandas(code, "node long, dim int, f double, code binary")
+
+
+_PLACE = ["dim", "t", "key", "lo", "hi"]
+_SLIM = "dim int, t int, key int, lo int, hi int, blk int, node long, f double, code binary"
+
+
+def _sides(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two blocks that are compared; of one block the same array twice."""
+    low, high, blk = x["lo"].iloc[0], x["hi"].iloc[0], x["blk"].to_numpy()
+    rows = np.flatnonzero(blk == low)
+    return (rows, rows) if low == high else (rows, np.flatnonzero(blk == high))
+
+
+def met(x: pd.DataFrame, bits: int, count: int, threshold: float) -> np.ndarray:
+    """Which rows of a bucket have a pair in it whose codes allow a link."""
+    codes, out = Codes(list(x["code"]), bits, count), np.zeros(len(x), bool)
+    for i, j in codes.pairs(int(x["t"].iloc[0]), *_sides(x), threshold):
+        out[i] = out[j] = True
+    return out
+
+
+def bucket_links(x: pd.DataFrame, bits: int, count: int, threshold: float) -> pd.DataFrame | None:
     """node, links, least: for each linked node the weight of its partners, and the smallest node that it is linked with here."""
-    i, j = pairs_of(x, rotation, threshold)
-    if not len(i):
+    dim, n = int(x["dim"].iloc[0]), len(x)
+    codes, node, weight, f = Codes(list(x["code"]), bits, count), x["node"].to_numpy(), x["weight"].to_numpy(), x["f"].to_numpy()
+    v = unit(np.stack(x["embedding"].to_list()).astype(np.float64))
+    turned = v @ rotations(dim, 1)[0].T
+    sign = np.where(turned >= 0, 1.0, -1.0)
+    error = EPSILON * np.sqrt(np.maximum(0, 1 - f**2) / (f**2 * max(1, dim - 1))) + 1e-9
+    total, low = np.zeros(n, np.int64), node.copy()
+    found = []
+    for i, j in codes.pairs(int(x["t"].iloc[0]), *_sides(x), threshold):
+        maybe = np.einsum("ij,ij->i", sign[i], turned[j]) / (math.sqrt(dim) * f[i]) + error[i] >= threshold
+        i, j = i[maybe], j[maybe]
+        near = np.einsum("ij,ij->i", v[i], v[j]) >= threshold
+        i, j = i[near], j[near]
+        if len(i):
+            np.add.at(total, i, weight[j])
+            np.add.at(total, j, weight[i])
+            found.append((i.astype(np.int32), j.astype(np.int32)))
+    if not found:
         return None
-    n = len(x)
-    count = np.bincount(i, x.weight[j], n) + np.bincount(j, x.weight[i], n)
-    low = x.node.copy()
     while True:
         was = low.copy()
-        np.minimum.at(low, i, low[j])
-        np.minimum.at(low, j, low[i])
+        for i, j in found:
+            np.minimum.at(low, i, low[j])
+            np.minimum.at(low, j, low[i])
         if (was == low).all():
             break
-    hit = count > 0
-    return pd.DataFrame({"node": x.node[hit], "links": count[hit].astype(np.int64), "least": low[hit]})
+    hit = total > 0
+    return pd.DataFrame({"node": node[hit], "links": total[hit], "least": low[hit]})
 
 
-def links(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """(node, links, least): one row for a node and bucket in which it has links; least connects all that are linked."""
-    bits, count = tables(n, threshold, miss)
-    rows = written(coded(vectors, bits, count), "codes")
-    placed = rows.select("*", F.posexplode("keys").alias("t", "key"))
-    big = placed.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    big = written(big, "buckets")
-    placed = placed.join(big, ["dim", "t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    blk = F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(*rows.columns, "t", "key", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
-    order = ["dim", "t", "key", "lo", "hi"]
+def _by_bucket(look):
+    """look, for each bucket of rows that stand in the order of _PLACE."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn: dict[int, np.ndarray] = {}
-
-        def found(x: Rows) -> list[pd.DataFrame]:
-            if len(x) < 2:
-                return []
-            if x.dim not in turn:
-                turn[x.dim] = rotations(x.dim, 1)[0]
-            out = bucket_links(x, turn[x.dim], threshold)
-            return [] if out is None else [out]
-
-        held: Rows | None = None  # the last bucket, which may go on in the next batch
+        held = None  # the last bucket, which may go on in the next batch
         for x in batches:
             if not len(x):
                 continue
-            out: list[pd.DataFrame] = []
-            edges = np.flatnonzero(np.diff(x["dim"].to_numpy())) + 1
-            for a, b in zip([0, *edges], [*edges, len(x)], strict=True):
-                rows = Rows.of(x.iloc[a:b])
-                if held is not None and held.same_place(rows):
-                    rows = held.joined(rows)
-                elif held is not None:
-                    out += found(held)
-                starts = np.r_[0, np.flatnonzero((rows.place[1:] != rows.place[:-1]).any(axis=1)) + 1, len(rows)]
-                for k in np.flatnonzero(np.diff(starts[:-1]) > 1):
-                    out += found(rows.cut(starts[k], starts[k + 1]))
-                held = rows.cut(starts[-2], starts[-1])
+            x = x if held is None else pd.concat([held, x], ignore_index=True)
+            place = x[_PLACE].to_numpy()
+            cuts = np.r_[0, np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1, len(x)]
+            out = [y for a, b in zip(cuts[:-2], cuts[1:-1], strict=True) if b - a > 1 and (y := look(x.iloc[a:b])) is not None]
+            held = x.iloc[cuts[-2] :]
             if out:
                 yield pd.concat(out)
-        if held is not None and (last := found(held)):
-            yield pd.concat(last)
+        if held is not None and len(held) > 1 and (y := look(held)) is not None:
+            yield y
+
+    return run
+
+
+def links(vectors: DataFrame, n: int, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """(node, links, least): one row for a node and bucket in which it has links; least connects all that are linked. vectors: node, weight, embedding."""
+    bits, count = tables(n, threshold, miss)
+    rows = written(coded(vectors.select("node", "embedding"), bits, count), "codes")
+    # bit k of a code is bit 7 - k % 8 of its byte k / 8
+    bit = lambda k: F.shiftright(F.conv(F.hex(F.substring("code", k // 8 + 1, 1)), 16, 10).cast("int"), 7 - k % 8).bitwiseAND(1)
+    keys = F.array(*[sum((bit(t * bits + b) * (1 << b) for b in range(1, bits)), bit(t * bits)) for t in range(count)])
+    placed = rows.select("*", F.posexplode(keys).alias("t", "key"))
+    big = placed.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    placed = placed.join(written(big, "buckets"), ["dim", "t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64("node", "t"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("dim", "t", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "node", "f", "code")
+
+    def meeting(x: pd.DataFrame) -> pd.DataFrame | None:
+        there = met(x, bits, count, threshold)
+        return x[there] if there.any() else None
+
+    def linked(x: pd.DataFrame) -> pd.DataFrame | None:
+        return bucket_links(x, bits, count, threshold)
 
-    return placed.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "node long, links long, least long")
+    in_order = lambda df: df.repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+    near = written(in_order(placed).mapInPandas(_by_bucket(meeting), _SLIM), "near")
+    return in_order(near.join(vectors.select("node", "weight", "embedding"), "node")).mapInPandas(_by_bucket(linked), "node long, links long, least long")
 
 
 def groups(table: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept, for every row of table (vec_id, embedding)."""
     bounded_batches(table.sparkSession)
-    numbers = F.col("embedding").cast("array<double>")
+    kind = table.schema["embedding"].dataType
+    numbers = F.col("embedding") if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else F.col("embedding").cast("array<double>")
     fit = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(numbers, lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists(numbers, lambda v: v != 0)
-    rows = table.select("vec_id", "embedding", F.coalesce(fit, F.lit(False)).alias("fit"))
+    rows = table.select("vec_id", numbers.alias("embedding"), F.coalesce(fit, F.lit(False)).alias("fit"))
     # equal vectors are put together before anything is compared
-    distinct = written(rows.where("fit").groupBy(F.col("embedding").cast("array<double>").alias("embedding")).agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "vectors")
+    distinct = rows.where("fit").groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = written(links(distinct, distinct.count(), threshold, miss), "links")
     label = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    # the few nodes with links; a node's name is the smallest vec_id of its copies, and so a component's
-    named = sums.join(label, "node", "left").select("node", "links", F.least("node", F.coalesce("component", "node")).alias("component_id"))
-    linked = distinct.join(named, "node", "left").where("weight > 1 or links is not null").select("embedding", F.coalesce("links", F.lit(0)).alias("links"), "weight", F.coalesce("component_id", "node").alias("component_id"))
-    out = rows.withColumn("embedding", F.when(F.col("fit"), F.col("embedding").cast("array<double>"))).join(linked, "embedding", "left")
+    # the nodes with links, and what they are called: by the smallest vec_id of a component
+    linked = sums.join(label, "node", "left").select("node", "links", F.coalesce("component", "node").alias("component"))
+    linked = linked.join(distinct.select("node", "least_id"), "node")
+    names = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    linked = linked.join(names, "component").select("node", "links", "component_id")
+    copies = distinct.join(linked, "node", "left").where("weight > 1 or links is not null").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
+    good = rows.where("fit").join(copies, "embedding", "left").select("vec_id", "n_links", "component_id")
+    out = good.union(rows.where("not fit").select("vec_id", F.lit(None).cast("long"), F.lit(None).cast("long")))
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def brute_force(vectors: dict[int, list[float] | None], threshold: float = THRESHOLD) -> dict[int, tuple[int, int]]:
