@@ -2,19 +2,19 @@
 
 Words are runs of characters other than ASCII white space, after lower-casing A-Z; a document's set are its distinct 5-word shingles (as
 64-bit hashes), with fewer words the whole sequence. Documents with equal sets are one node. Every node has TREES
-signatures of DEPTH MinHash values; for each tree the nodes stand in the order of their signatures, and neighbours in that order
-are candidates if the common prefix has LEAST values or more: all of a region of WIDTH + 1 nodes, and in larger ones the likeliest
-BEST of the WIDE nodes on either side, by two bits of each value of the whole signature. So where a region of the order is
-dense the candidates share long prefixes, and where it is sparse short ones do: the depth adapts to the region, and no
-bucket is ever gathered. The orders are range-partitioned by tree, signature and node, which also splits regions of equal
-signatures; neighbours across the partitions' borders are found from the rows at the borders.
+signatures of DEPTH MinHash values; for each tree the nodes stand in the order of their signatures. Of its neighbours there, WIDTH on either side, a node
+takes the WIDTH with the longest common prefix as candidates, LEAST values at least. So the depth adapts to the region: where the order is dense the
+candidates share long prefixes, where it is sparse short ones do, and no bucket is ever gathered. The orders are range-partitioned by tree, signature and
+node, which also splits regions of equal signatures; rows at the ends of partitions are looked at together, so candidates are the same however
+the orders are cut.
 
 Candidates whose signatures agree too little for a link (five standard deviations below the threshold) are set aside. Of the others
 each node's likeliest is confirmed first; the rest only where it joins groups that are still apart.
 
-Then every larger region that still holds several groups is compared as a whole: its nodes are dealt out as pairs of blocks, and a
-task confirms all pairs of its two blocks that are apart, likeliest first, and returns only links that join groups. So the candidates above
-decide what is found early, not what is found: every pair that shares LEAST values in some tree and could be a link is looked at.
+Then every larger region (nodes that share LEAST values of a tree, more than WIDTH + 1) that still holds several groups is compared as a whole: its nodes
+are dealt out as pairs of blocks, and a task confirms all pairs of its two blocks that are apart, likeliest first, and returns only links that join
+groups. So the candidates above decide what is found early, not what is found: every pair that shares LEAST values in some tree and could be a link is
+looked at. A pair at the threshold shares none with a probability of 2.4e-7, and is set aside with 3e-7.
 
 null or blank text: an empty set, linked with nothing. Repeated rows are copies of one another. Rows with a null doc_id have
 the component's smallest doc_id, which is null if all its rows have none.
@@ -28,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, keep_only, written
+from .common import appended, bounded_batches, components, keep_only, written
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
-BEST, WIDE = 3, 64
 #: Nodes of a block.
 BLOCK = 1024
 WORDS = 5
@@ -87,15 +87,18 @@ def _node(h: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (of the set; null if empty), sig, sketch."""
+    """docs (doc_id, text) without the text, with n_shingles, node (of the set; null if empty) and sig."""
 
-    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         keep_only("minhash", _words.clear)
-        for x in batches:
-            sets = [shingles(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([_node(s) if len(s) else None for s in sets], "Int64"), "sig": (sigs := [signature(s).tobytes() if len(s) else None for s in sets]), "sketch": [_sketch(s) if s else None for s in sigs]})
 
-    return docs.select("doc_id", "text").mapInPandas(profile, "doc_id long, n_shingles long, node long, sig binary, sketch binary")
+        def said(texts: list[str | None]) -> list[list]:
+            sets = [shingles(t) for t in texts]
+            return [[len(s) for s in sets], [_node(s) if len(s) else None for s in sets], [signature(s).tobytes() if len(s) else None for s in sets]]
+
+        return said
+
+    return appended(docs, "text", "n_shingles long, node long, sig binary", make, without=True)
 
 
 def _sketch(sig: bytes) -> bytes:
@@ -110,73 +113,100 @@ def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
-def _first_of_each(key: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n first rows of each key, by order."""
-    by = np.lexsort((order, key))
-    start = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
-    rank = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
-    return by[rank < n]
-
-
-def _neighbours(tree: np.ndarray, sig: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in the order whose signatures share LEAST values: all in small regions, else each node's likeliest among those WIDE apart at most."""
-    same = (tree[1:] == tree[:-1]) & (sig[1:, :LEAST] == sig[:-1, :LEAST]).all(axis=1)
-    region = np.r_[0, np.cumsum(~same)]
-    members = np.bincount(region)[region]
-    near, far = [], []
-    for k in range(1, min(WIDE, len(node) - 1) + 1):
-        i = np.flatnonzero(region[k:] == region[:-k])
-        if not len(i):
-            break
-        i = i[node[i] != node[i + k]]
-        few = members[i] <= WIDTH + 1
-        near.append(np.stack([i[few], i[few] + k], axis=1))
-        i = i[~few]
-        far.append(np.stack([i, i + k, _unlike(sketch[i], sketch[i + k])], axis=1))
-    if far and len(wide := np.concatenate(far)):
-        chosen = np.union1d(*(_first_of_each(wide[:, side], wide[:, 2], BEST) for side in (0, 1)))
-        near.append(wide[chosen, :2])
-    pairs = node[np.concatenate(near)] if near else np.empty((0, 2), np.int64)
-    return pairs.min(axis=1), pairs.max(axis=1)
-
-
-def _in_order(edges: bool):
-    """Candidates of one partition in order; with edges also its first and last WIDTH rows."""
-    columns = ["a", "b", "tree", "sig", "node", "sketch"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(x: pd.DataFrame) -> pd.DataFrame:
-            sig = np.frombuffer(b"".join(x["sig"]), ">u4").reshape(len(x), DEPTH)
-            sketch = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1)
-            a, b = _neighbours(x["tree"].to_numpy(), sig, x["node"].to_numpy(), sketch)
-            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-        before, head, seen = None, None, 0
-        for x in batches:
-            now = x if before is None else pd.concat([before, x], ignore_index=True)
-            yield pairs(now).reindex(columns=columns)
-            if edges and seen < WIDTH:
-                head = x.head(WIDTH - seen) if head is None else pd.concat([head, x.head(WIDTH - seen)])
-            seen += len(x)
-            before = now.tail(WIDE)
-        if edges and before is not None:
-            yield pd.concat([head, before.tail(WIDTH)]).drop_duplicates(["tree", "sig", "node"]).reindex(columns=columns)
+def _picks(tree: np.ndarray, sig: np.ndarray, joint: np.ndarray, picking: np.ndarray) -> np.ndarray:
+    """Places (i, j) of the neighbours j that each row i in `picking` takes.
+
+    Rows stand in order; joint[i] tells whether row i + 1 is the very next one. Of WIDTH rows on either side a row takes the WIDTH with the longest
+    common prefix, of equal ones the nearest, if the prefix has LEAST values or more.
+    """
+    n = len(tree)
+    same = (sig[1:] == sig[:-1]) & (joint & (tree[1:] == tree[:-1]))[:, None]
+    prefix = np.r_[np.cumprod(same, axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64), np.zeros(WIDTH, np.int64)][: n + WIDTH - 1]
+    low, wide = prefix, np.zeros((2 * WIDTH, n), np.int64)
+    for k in range(1, min(WIDTH, n - 1) + 1):
+        reach = low[: n - k]  # the common prefix of rows i and i + k
+        wide[2 * k - 2, k:], wide[2 * k - 1, : n - k] = reach, reach
+        low = np.minimum(low[:-1], prefix[k : k + len(low) - 1])
+    wide = wide[:, picking]
+    order = np.argsort(-wide, axis=0, kind="stable")[:WIDTH]
+    takes = np.take_along_axis(wide, order, axis=0) >= LEAST
+    i = np.broadcast_to(picking, takes.shape)[takes]
+    step = (order // 2 + 1) * np.where(order % 2, 1, -1)
+    return np.stack([i, i + step[takes]], axis=1)
+
+
+def _arrays(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return x["tree"].to_numpy(), np.frombuffer(b"".join(x["sig"]), ">u4").reshape(len(x), DEPTH), x["node"].to_numpy()
+
+
+def _pairs(x: pd.DataFrame, joint: np.ndarray, picking: np.ndarray) -> pd.DataFrame:
+    tree, sig, node = _arrays(x)
+    both = node[_picks(tree, sig, joint, picking)]
+    return pd.DataFrame({"a": both.min(axis=1), "b": both.max(axis=1)}).drop_duplicates().reindex(columns=_COLUMNS)
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of the rows of one partition that have WIDTH rows on either side there, and the rows (2 * WIDTH) at its ends, for the others."""
+    part = TaskContext.get().partitionId()
+    held, seen, head = None, 0, []  # rows whose place is not past yet
+    for x in batches:
+        if not len(x):
+            continue
+        x = x.assign(part=part, at=np.arange(seen, seen + len(x)))
+        if seen < 2 * WIDTH:
+            head.append(x.head(2 * WIDTH - seen))
+        seen += len(x)
+        x = x if held is None else pd.concat([held, x], ignore_index=True)
+        picking = np.arange(WIDTH, len(x) - WIDTH)
+        if len(picking):
+            yield _pairs(x, np.ones(len(x) - 1, bool), picking)
+        held = x.tail(2 * WIDTH).reset_index(drop=True)
+    if seen:
+        yield pd.concat([*head, held]).drop_duplicates("at").assign(size=seen).reindex(columns=_COLUMNS)
+
+
+def _at_borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of the rows at the ends of partitions; all of those rows, in order, are one partition here."""
+    held = None
+    for x, last in _flagged(batches):
+        x = x.assign(done=False)
+        x = x if held is None else pd.concat([held, x], ignore_index=True)
+        if not len(x):
+            continue
+        part, at, size = (x[c].to_numpy(np.int64) for c in ("part", "at", "size"))
+        joint = (at[1:] == at[:-1] + 1) & (part[1:] == part[:-1]) | (part[1:] != part[:-1])
+        own = (at < WIDTH) | (at >= size - WIDTH)
+        place = np.arange(len(x))
+        before = x["done"].to_numpy(bool)
+        ready = own & ~before & (last | (place < len(x) - WIDTH))
+        if ready.any():
+            yield _pairs(x, joint, np.flatnonzero(ready))
+        held = x.assign(done=before | ready).tail(2 * WIDTH).reset_index(drop=True)
+
 
-    return run
+def _flagged(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Each batch with whether it is the last."""
+    last = None
+    for x in batches:
+        if last is not None:
+            yield last, False
+        last = x
+    if last is not None:
+        yield last, True
 
 
-_FOUND = "a long, b long, tree int, sig binary, node long, sketch binary"
+_FOUND = "a long, b long, tree int, sig binary, node long, part int, at long, size long"
+_COLUMNS = [c.split()[0] for c in _FOUND.split(", ")]
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes (node, sig, sketch) that are neighbours in one of the orders."""
+    """Distinct (a, b), a < b, of nodes (node, sig) that are neighbours in one of the orders; the same whatever the partitions and batches."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
-    rows = nodes.select("node", "sketch", F.posexplode(parts).alias("tree", "sig")).select("tree", "sig", "node", "sketch")
+    rows = nodes.select("node", F.posexplode(parts).alias("tree", "sig")).select("tree", "sig", "node")
     order = ["tree", "sig", "node"]
-    found = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_in_order(True), _FOUND)
-    found = written(found, "neighbours")
+    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_in_order, _FOUND), "neighbours")
     # a few rows for each partition
-    border = found.where("a is null").select(*order, "sketch").coalesce(1).sortWithinPartitions(*order).mapInPandas(_in_order(False), _FOUND)
+    border = found.where("a is null").drop("a", "b").coalesce(1).sortWithinPartitions(*order).mapInPandas(_at_borders, _FOUND)
     return found.where("a is not null").select("a", "b").union(border.select("a", "b")).distinct()
 
 
@@ -294,21 +324,21 @@ def joining(apart: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int =
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of docs (doc_id, text)."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     rows = written(profiles(docs), "profiles")
-    # copies are put together before anything is compared
-    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "nodes")
+    # copies are put together before anything is compared; one row's text stands for them
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("own"), F.first("sig").alias("sig")), "nodes")
     pairs = written(likely(candidates(nodes), nodes, percent), "pairs")
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:  # rows that share a doc_id may have other texts
+        for x in batches:  # other texts may have the same hash
             yield x[[_node(shingles(t)) == n for t, n in zip(x["text"], x["node"], strict=True)]]
 
     def texts_of(some: DataFrame) -> DataFrame:
-        wanted = some.join(nodes.select("node", "first_id"), "node")
-        found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("node", "text").mapInPandas(own, "node long, text string")
+        wanted = some.join(nodes.select("node", "own.*"), "node").toDF("node", "key", "id")
+        found = docs.join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").mapInPandas(own, "node long, text string")
         return written(found.dropDuplicates(["node"]), "texts")
 
     texts = texts_of(ends)

@@ -8,8 +8,11 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import bpe, embeddings, imatch, langid, minhash, packing, pii, queries, secrets, sharding, toxicity
 from lectern.llm.common import components
@@ -56,6 +59,22 @@ def texts(spark, tiny):
     return {r.doc_id: r.text for r in table(spark, tiny, "documents").select("doc_id", "text").collect()}
 
 
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_null(spark, path):
+    """An id over 2^53 in one batch with a null id stays as it is, in every operator that has Python workers."""
+    rows = [(BIG, "some words of a text that has an id", "en", "s", 7), (None, "some words of a text that has none", "en", "s", None), (BIG + 2, None, "en", "s", BIG)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 1), (BIG + 2, 1, 0)], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([(BIG, [1.0, 2.0]), (None, [1.0, 2.0]), (BIG + 2, [2.0, 1.0])], "vec_id long, embedding array<float>").coalesce(1)
+    made = [minhash.groups(docs), langid.predictions(docs), toxicity.predictions(docs, labels), secrets.digests(docs), bpe.digests(docs, path), packing.digests(docs, path), secrets.redact(docs), langid.identify(docs, {"en": "text"}), bpe.encode(docs, path), pii.digests(docs), sharding.shard_documents(docs), imatch.compared(docs)]
+    for out in made:
+        assert {r.doc_id for r in out.collect()} == {BIG, None, BIG + 2}, out.columns
+    assert {r.n_chars for r in secrets.redact(docs).collect()} == {7, None, BIG}
+    assert {r.vec_id for r in embeddings.groups(vectors).collect()} == {BIG, None, BIG + 2}
+
+
 # 1
 def test_minhash_equals_all_pairs(spark, tiny):
     docs = table(spark, tiny, "documents").select("doc_id", "text")
@@ -93,6 +112,34 @@ def test_minhash_links_within_a_family(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.groups(docs).collect()} == wanted
 
 
+def test_candidates_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    made = []
+    for k in range(40):
+        base = rng.choices(range(1000), k=60)
+        for j in range(rng.choice([1, 2, 30])):
+            made.append((len(made), " ".join(f"w{x if rng.random() < 0.97 else rng.randrange(1000)}" for x in base)))
+    rows = minhash.profiles(spark.createDataFrame(made, "doc_id long, text string")).where("node is not null").dropDuplicates(["node"]).select("node", "sig").cache()
+    sigs = {r.node: np.frombuffer(r.sig, ">u4").reshape(minhash.TREES, minhash.DEPTH) for r in rows.collect()}
+    wanted = set()
+    for t in range(minhash.TREES):
+        order = sorted(sigs, key=lambda n, t=t: (sigs[n][t].tobytes(), n))
+        for i, n in enumerate(order):
+            prefix = lambda j, t=t, n=n, order=order: int(np.cumprod(sigs[n][t] == sigs[order[j]][t]).sum())
+            near = [(-prefix(i + s * k), k, s, order[i + s * k]) for k in range(1, minhash.WIDTH + 1) for s in (-1, 1) if 0 <= i + s * k < len(order)]
+            wanted |= {(min(n, m), max(n, m)) for p, _, _, m in sorted(near)[: minhash.WIDTH] if -p >= minhash.LEAST}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts, batch in ((1, 10_000), (2, 10), (8, 10_000), (64, 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            assert {(r.a, r.b) for r in minhash.candidates(rows).collect()} == wanted
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_minhash_rows(spark, hostile, empty):
     got = minhash.groups(hostile).collect()
     assert len(got) == len(HOSTILE)
@@ -126,19 +173,50 @@ def test_components(spark):
 
 
 # 2
-def test_automaton_knows_all_factors():
+def _phrases(word, text):
+    count, at = 0, 0
+    while at < len(word):
+        end = at + 1
+        while end < len(word) and word[at : end + 1] in text:
+            end += 1
+        count, at = count + 1, end
+    return count
+
+
+@pytest.mark.parametrize(("segment", "dense"), [((2, 5), 1 << 23), ((2, 5), 0), ((256, 8192), 1 << 23)])
+def test_automaton_parses_as_one_pass(monkeypatch, segment, dense):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "DENSE", dense)
     rng = random.Random(3)
-    text = "".join(rng.choices("abc ", k=120))
-    auto = langid.SuffixAutomaton(text)
-    for _ in range(200):
-        word = "".join(rng.choices("abcd ", k=rng.randrange(1, 25)))
-        count, at = 0, 0
-        while at < len(word):
-            end = at + 1
-            while end < len(word) and word[at : end + 1] in text:
-                end += 1
-            count, at = count + 1, end
-        assert auto.phrases(word) == count
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    for _ in range(20):
+        text = "".join(rng.choices("abc ", k=rng.randrange(1, 150)))
+        words = ["".join(rng.choices("abcd ", k=rng.randrange(0, 90))) for _ in range(20)]
+        got = langid.SuffixAutomaton(codes(text)).phrases(codes("".join(words)), np.r_[0, np.cumsum([len(w) for w in words])])
+        assert got.tolist() == [_phrases(w, text) for w in words]
+
+
+def test_language_equals_plain_parse(spark, tiny):
+    """Every row of the query against a parse of whole texts, one character at a time, by string search."""
+    docs = table(spark, tiny, "documents")
+    learned = langid.sample(docs.select("doc_id", "text", "lang"))
+    held = {r.doc_id: r.text for r in docs.collect()}
+    assert set(learned) == {r.lang for r in docs.select("lang").distinct().collect() if r.lang}
+    said = lambda t: " " + " ".join(regex.findall(r"[\p{L}\p{M}]+", t.lower())) + " "
+    plain = {x: said(t) for x, t in learned.items()}
+    for r in langid.predictions(docs).orderBy("doc_id").limit(25).collect():
+        text = said(held[r.doc_id])
+        bits = {x: _phrases(text, t) * np.log2(len(t)) for x, t in sorted(plain.items())}
+        best = min(bits, key=bits.get)
+        assert r.lang_pred == best and abs(r.score - 1 / sum(2 ** ((bits[best] - b) / 2) for b in bits.values())) < 1e-9
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_letters():
+    learned = langid.Identifier({"en": "some words of text", "fr": "une"})
+    assert learned.predict(["½ ²", "①②", "", None, "12 _!", "a"])[0][:5] == ["und"] * 5
+    # the shorter text has the longer references
+    assert learned.predict(["some words"])[0] == ["en"] and len(langid.Identifier({}).predict(["a"])[0]) == 1
 
 
 def test_language_held_out(spark, tiny):
@@ -276,6 +354,12 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     assert got == embeddings.brute_force(rows)
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.99, 0.01, 0.0]), (None, [1.0, 0.0, 0.0]), (3, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("vec_id is not null").collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3)]
+
+
 def test_estimates_lie_within_their_bounds():
     rng = np.random.default_rng(9)
     v = embeddings.unit(rng.standard_normal((300, 64)))
@@ -403,22 +487,24 @@ def test_bpe_equals_the_library(path):
 
     library = Tokenizer.from_file(path)
     codec = bpe.Codec(*bpe.load(path))
-    for text in CASES:
+    rng = random.Random(1)
+    bits = ["a", "B", "'s", "'", "<|endoftext|>", "<|", "|>", "endoftext", " ", "\n", "\x1c", "\u3000", "e\u0301", "é", "\u0308", "Σ", "σ", "İ", "½", "日", "가", "\u1100", "\u1161", "\u11a8", "🙂", "क", "ि", "ß", "Å", "\U00010d50", "\u1c89", "ab" * 40, "—", "\u0338", ">", "\u0f71\u0f72"]
+    mixed = ["".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(300)]
+    for text in [*CASES, *mixed]:
         ids = library.encode(text, add_special_tokens=False).ids
         got = codec.ids(text)
         assert list(array("I", got)) == ids
         assert codec.decode(got) == library.decode(ids, skip_special_tokens=False)
-        for size in (5, 64):
+        for size in (1, 5, 64):
             parts = [text[i : i + size] for i in range(0, len(text), size)]
-            if codec.plain(text):
-                assert codec.tree([(p.lower(), codec.ids(p)) for p in parts]) == got
+            assert codec.tree([(p, codec.ids(p)) for p in parts]) == got
 
 
 def test_bpe_rows(spark, hostile, empty, path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    got = bpe.encode_with(hostile.select("doc_id", "text"), path, lambda c, rows, ids: rows.assign(ids=[list(array("I", i)) for i in ids]), "doc_id long, ids array<long>", segment=100).collect()
+    got = bpe.encode_with(hostile.select("doc_id", "text"), path, lambda c, rows, ids: rows.append_column("ids", pa.array([list(array("I", i)) for i in ids], pa.list_(pa.int64()))), T._parse_datatype_string("doc_id long, ids array<long>"), segment=100).collect()
     wanted = sorted((library.encode(t or "", add_special_tokens=False).ids for _, t, *_ in HOSTILE), key=repr)
     assert sorted((r.ids for r in got), key=repr) == wanted
     back = bpe.decode(bpe.encode(hostile, path), path)
