@@ -1,12 +1,13 @@
 """Personal data: plain formats as seeds, and contexts learned from them by bootstrapping. DataFrame operations only.
 
-Base entities (e-mail, IP, card, phone) are found by pattern. Every identifier-like word of the corpus is an instance, its neighbouring
-words are its lexical patterns. Rounds alternate over that graph: a pattern is as confident as the share of its
-distinct instances that are known to be of one kind, an instance as sure as its patterns make it together; instances over the
-threshold are known in the next round. Known instances that no base format covers are added, wherever they stand.
+Base entities (e-mail, IP, card, phone) are found by pattern. Every identifier-like string of the corpus is an instance: a word with a digit or @, and the
+groups of digits that follow it after one blank each. Its lexical patterns are the words around it (one before, two before, one after, one on either side).
+Rounds alternate over that graph: a pattern is as confident as the share of its distinct instances that are known to be of one kind, an instance
+as sure as its patterns make it together; instances over the threshold are known in the next round, until a round finds none. Known instances
+that no base format covers are added, wherever they stand.
 
 null text counts as empty. Spans are code points, end exclusive. Repeated rows each have their own result, and count
-once in every score, as scores go by distinct instances.
+once in every score, as scores go by distinct instances. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _PATTERNS = {
 #: What a text must have to be searched for a kind at all.
 _HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[(]?[0-9][0-9().-]*+(?!\S))*+"
 BLOCK = 256
 
 
@@ -100,37 +101,53 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*kinds))
 
 
-def _word(x: Column, pattern: str) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_extract(x, pattern, 1), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+def _bare(x: Column) -> Column:
+    """A word in lower case without marks at its ends; empty where there is none."""
+    return F.coalesce(F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), F.lit(""))
 
 
 def instances(text: Column, base: Column) -> Column:
-    """Identifier-like words with the words around them; rank is the kind of the base entity that they are part of, or null."""
+    """Identifier-like strings with their patterns; rank is the kind of the base entity that they are part of, or null."""
+
+    def patterns(before: Column, after: Column) -> Column:
+        near, far, follows = _bare(F.get(before, F.size(before) - 1)), _bare(F.get(before, F.size(before) - 2)), _bare(F.get(after, F.lit(0)))
+        both = F.struct(near.alias("near"), far.alias("far"), follows.alias("follows"))
+        said = lambda w: F.array(
+            F.when(w["near"] != "", F.concat(F.lit("L "), w["near"])),
+            F.when((w["near"] != "") & (w["far"] != ""), F.concat(F.lit("LL "), w["far"], F.lit(" "), w["near"])),
+            F.when(w["follows"] != "", F.concat(F.lit("R "), w["follows"])),
+            F.when((w["near"] != "") & (w["follows"] != ""), F.concat(F.lit("B "), w["near"], F.lit(" "), w["follows"])),
+        )
+        return F.array_compact(let(both, said))
 
     def one(m: Column) -> Column:
-        word = F.regexp_replace(m["value"], r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}]+$", "")
-        start = m["start"] + F.length(F.regexp_extract(m["value"], r"^([^\p{L}\p{N}+@]*)", 1))
+        word = F.regexp_replace(m["value"], r"^[^\p{L}\p{N}+@(]+|[^\p{L}\p{N}]+$", "")
+        start = m["start"] + F.length(F.regexp_extract(m["value"], r"^([^\p{L}\p{N}+@(]*)", 1))
         end = start + F.length(word)
         over = F.filter(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
-        return F.struct(start.alias("start"), end.alias("end"), F.lower(word).alias("value"), _word(F.substring(m["left"], -80, 80), r"(\S+)\s*$").alias("left"), _word(F.substring(m["right"], 1, 80), r"^\s*(\S+)").alias("right"), F.get(over, 0)["rank"].alias("rank"))
+        words = F.struct(F.split(F.rtrim(m["left"]), r"\s+").alias("before"), F.split(F.ltrim(m["right"]), r"\s+").alias("after"))
+        return F.struct(start.alias("start"), end.alias("end"), F.lower(word).alias("value"), let(words, lambda w: patterns(w["before"], w["after"])).alias("patterns"), F.get(over, 0)["rank"].alias("rank"))
 
     return F.transform(matches(text, _CANDIDATE, "[0-9@]"), one)
 
 
 def eligible(value: Column) -> Column:
     """What may be added: an address, or five digits at least."""
-    return (F.length(value) <= 80) & (value.rlike("^[^@]+@[^@]+$") | (F.length(_digits(value)) >= 5))
+    return value.rlike("^[^@]+@[^@]+$") | (F.length(_digits(value)) >= 5)
 
 
-def discover(graph: DataFrame, rounds: int = 2, support: int = 5, threshold: float = 0.8) -> DataFrame:
+def discover(graph: DataFrame, support: int = 5, threshold: float = 0.8) -> DataFrame:
     """(value, rank) of instances that become known. graph: distinct (pattern, value, rank), rank null where no base entity covers it.
 
-    A pattern's confidence is hits / (instances + 1) for its most frequent kind; it counts from `support` hits on.
+    A pattern's confidence is hits / (instances + 1) for its most frequent kind; it counts from `support` hits on. Every round but the last makes an
+    instance known, so rounds end.
     """
     known = graph.where("rank is not null").groupBy("value").agg(F.min("rank").alias("rank"))
     seeds = known = written(known, "seeds")
     links = graph.select("pattern", "value").distinct()
-    for _ in range(rounds):
+    if links.where(eligible(F.col("value"))).join(known.select("value"), "value", "left_anti").isEmpty():
+        return seeds.limit(0)
+    while True:
         scored = links.join(known, "value", "left").groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if(F.col("rank") == r).alias(f"hits{r}") for r in range(len(KINDS))])
         best = F.greatest(*[F.struct(F.col(f"hits{r}").alias("hits"), F.lit(-r).alias("rank")) for r in range(len(KINDS))])
         sure = scored.select("pattern", "n", best.alias("best")).where(F.col("best.hits") >= support).select("pattern", (-F.col("best.rank")).alias("rank"), (F.col("best.hits") / (F.col("n") + 1)).alias("conf")).where(F.col("conf") >= threshold)
@@ -138,11 +155,13 @@ def discover(graph: DataFrame, rounds: int = 2, support: int = 5, threshold: flo
         score = 1 - F.exp(F.sum(F.log(1 - F.col("conf"))))
         chosen = fresh.groupBy("value", "rank").agg(score.alias("score")).where(F.col("score") >= threshold)
         chosen = chosen.groupBy("value").agg((-F.max(F.struct("score", (-F.col("rank")).alias("rank")))["rank"]).alias("rank"))
-        known = written(known.unionByName(chosen.select("value", F.col("rank").cast("int").alias("rank"))), "known")
-    return known.join(seeds.select("value"), "value", "left_anti")
+        chosen = written(chosen.select("value", F.col("rank").cast("int").alias("rank")), "chosen")
+        if chosen.isEmpty():
+            return known.join(seeds.select("value"), "value", "left_anti")
+        known = written(known.unionByName(chosen), "known")
 
 
-def find(docs: DataFrame, text: str = "text", rounds: int = 2, support: int = 5, threshold: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", support: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without the text, with base and added: arrays of struct<start,rank,end>, by start, then kind as listed."""
     rest = [c for c in docs.columns if c not in (text, "base", "added")]
     names = [f"c{i}" for i in range(len(rest))]
@@ -150,10 +169,9 @@ def find(docs: DataFrame, text: str = "text", rounds: int = 2, support: int = 5,
     both = F.when(F.col("body").rlike("[0-9@]"), let(base_spans(F.col("body")), lambda b: F.struct(b.alias("base"), instances(F.col("body"), b).alias("words"))))
     found = written(read.select(*names, "row", both.alias("x")).select(*names, "row", "x.base", "x.words"), "entities")
     words = found.select("row", F.explode("words").alias("w")).select("row", "w.*").where("value <> ''")
-    patterns = F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("B "), "left", F.lit(" "), "right"))
-    graph = words.where("left <> ''").select(F.explode(patterns).alias("pattern"), "value", "rank").distinct()
-    new = discover(written(graph, "graph"), rounds, support, threshold)
-    added = words.where(F.col("rank").isNull() & eligible(F.col("value"))).drop("rank").join(new, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
+    graph = words.select(F.explode("patterns").alias("pattern"), "value", "rank").distinct()
+    new = discover(written(graph, "graph"), support, threshold)
+    added = words.where(F.col("rank").isNull() & eligible(F.col("value"))).select("row", "start", "end", "value").join(new, "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end"))).alias("added"))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     out = found.drop("words").join(added, "row", "left")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest, strict=True)], F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
@@ -165,7 +183,7 @@ def _said(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (base and added)."""
     found = find(docs.select("doc_id", "text"))
     count = lambda r: F.size(F.filter("base", lambda s: s["rank"] == r)).cast("long")
-    return found.select("doc_id", *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS)], F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS)], F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.array_sort(F.concat("base", "added"))).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))

@@ -1,11 +1,12 @@
 """Secret scans with a trigram inverted index.
 
 Each rule's pattern gives a Boolean trigram query: every way of matching it must spell one of some literals, so a text that
-lacks a trigram of each of them can't match. A batch of documents is a segment of the index: its postings are one bit a document
-for each trigram of the queries; they are intersected and united as the queries say, and only candidates are verified with
-the pattern. Rules without mandatory trigrams (runs of a character class) scan every text in full.
+lacks a trigram of each of them can't match. A batch of documents is a segment of the index: its texts are cut into trigrams once, and those that
+some query asks for become posting lists (the numbers of the texts that hold them, in order). The lists are intersected and united as the queries
+say, and only candidates are verified with the pattern. Rules without mandatory trigrams (runs of a character class) scan every text in full.
 
-null text counts as empty: no spans. Spans are code points, end exclusive. Repeated rows each have their own result.
+A trigram is three bytes of UTF-8, with A-Z as a-z. null text counts as empty: no spans. Spans are code points, end exclusive. Repeated rows each have
+their own result, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import re._constants as C
-import re._parser as parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,33 +68,119 @@ def _or(parts: list) -> object:
 
 
 def _grams(text: str) -> object:
-    return _and([text[i : i + 3] for i in range(len(text) - 2)])
-
-
-def _spelled(items) -> tuple[list[set[str] | None], list]:
+    b = text.encode().lower()
+    return _and([b[i : i + 3] for i in range(len(b) - 2)])
+
+
+class _Pattern:
+    """A pattern as a list of parts: ("set", characters or None if unknown), ("any of", lists of parts), ("repeat", low, high, part).
+
+    What it doesn't read (conditions, references) counts as unknown, which only makes a query weaker.
+    """
+
+    def __init__(self, pattern: str, flags: int):
+        self.rest, self.flags = pattern, flags
+
+    def take(self, n: int = 1) -> str:
+        out, self.rest = self.rest[:n], self.rest[n:]
+        return out
+
+    def known(self, chars: str) -> tuple:
+        """A set of characters in lower case; unknown where upper and lower case go beyond ASCII."""
+        if self.flags & re.I and not self.flags & re.A and any(not c.isascii() or c.lower() in "iks" for c in chars):
+            return "set", None
+        return "set", frozenset(c.lower() if c.isascii() else c for c in chars)
+
+    def escaped(self) -> str | None:
+        """The character that an escape stands for, or None."""
+        c = self.take()
+        if c in "xuU":
+            return chr(int(self.take({"x": 2, "u": 4, "U": 8}[c]), 16))
+        if c.isalnum():
+            return {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a"}.get(c)
+        return c
+
+    def bracket(self) -> tuple:
+        chars: list[str] | None = []
+        if self.rest[0] == "^":
+            self.take()
+            chars = None
+        first = True
+        while self.rest[0] != "]" or first:
+            first, c = False, self.take()
+            c = self.escaped() if c == "\\" else c
+            ranged = self.rest[0] == "-" and self.rest[1] != "]"
+            if ranged:
+                self.take()
+                if self.take() == "\\":
+                    self.escaped()
+            chars = None if chars is None or c is None or ranged or len(chars) > 7 else [*chars, c]
+        self.take()
+        return ("set", None) if chars is None else self.known("".join(chars))
+
+    def group(self) -> tuple | None:
+        if self.rest[0] != "?":
+            return "any of", self.ways()
+        self.take()
+        if self.rest[0] == ":":
+            self.take()
+        elif self.rest.startswith("P<"):
+            self.take(self.rest.index(">") + 1)
+        else:  # a condition, reference or flags
+            self.ways()
+            return "any of", [[("set", None)], []]
+        return "any of", self.ways()
+
+    def ways(self) -> list[list]:
+        """Alternatives, up to the end of the group, which is taken."""
+        out: list[list] = [[]]
+        while self.rest and self.rest[0] != ")":
+            c = self.take()
+            if c == "|":
+                out.append([])
+                continue
+            if c in "^$" or c == "\\" and self.rest[0] in "bBAZz":
+                self.take(c == "\\")
+                continue
+            if c == "\\":
+                one = self.escaped()
+                part = ("set", None) if one is None else self.known(one)
+            else:
+                part = self.bracket() if c == "[" else self.group() if c == "(" else ("set", None) if c == "." else self.known(c)
+            times = re.match(r"\{(\d+)(,?)(\d*)\}|[*+?]", self.rest)
+            if times:
+                self.take(times.end())
+                mark = times[0]
+                low, high = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(mark) or (int(times[1]), int(times[1]) if not times[2] else int(times[3]) if times[3] else None)
+                part = ("repeat", low, high, part)
+                self.take(self.rest[:1] in ("?", "+"))
+            out[-1].append(part)
+        self.take()
+        return out
+
+
+def _spelled(parts: list) -> tuple[list[set[str] | None], list]:
     """The spellings of each part in turn (None: unknown), and demands of parts that are no plain spelling."""
     out: list[set[str] | None] = []
     demands: list = []
-    for op, arg in items:
-        if op is C.LITERAL:
-            out.append({chr(arg).lower()})
-        elif op is C.IN and all(o is C.LITERAL for o, _ in arg) and len(arg) <= 8:
-            out.append({chr(a).lower() for _, a in arg})
-        elif op is C.SUBPATTERN:
-            inner, more = _spelled(arg[3])
-            out += [*inner]
-            demands += more
-        elif op is C.BRANCH:
-            ways = [_spelled(x) for x in arg[1]]
+    for kind, *arg in parts:
+        if kind == "set":
+            out.append(None if arg[0] is None else set(arg[0]))
+        elif kind == "any of":
+            ways = [_spelled(x) for x in arg[0]]
+            if len(ways) == 1:
+                out += ways[0][0]
+                demands += ways[0][1]
+                continue
             texts = [_texts(w) for w, _ in ways]
             if all(t is not None for t in texts) and len(set().union(*texts)) <= SPELLINGS:
                 out.append(set().union(*texts))
             else:
                 demands.append(_or([_and([_query_of(w), *d]) for w, d in ways]))
                 out.append(None)
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+        else:
             low, high, inner = arg
-            once, more = _spelled(inner)
+            once, more = _spelled([inner])
             texts = _texts(once)
             if texts is not None and high == 1 and low == 0:
                 out.append({"", *texts})
@@ -105,8 +190,6 @@ def _spelled(items) -> tuple[list[set[str] | None], list]:
                 if low:
                     demands += [_query_of(once), *more]
                 out.append(None)
-        elif op is not C.AT:
-            out.append(None)
     return out, demands
 
 
@@ -132,43 +215,69 @@ def _query_of(parts: list[set[str] | None]) -> object:
 
 
 def trigram_query(pattern: str, flags: int = 0) -> object:
-    """The Boolean trigram query, over lower-case text, that every text with a match of the pattern meets."""
-    parts, demands = _spelled(parser.parse(pattern, flags))
+    """The Boolean trigram query that every text with a match of the pattern meets."""
+    parts, demands = _spelled([("any of", _Pattern(pattern, flags).ways())])
     return _and([_query_of(parts), *demands])
 
 
-def trigrams(query: object) -> set[str]:
-    return set() if query is ALL else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1:]))
+def trigrams(query: object) -> set[bytes]:
+    return set() if query is ALL else {query} if isinstance(query, bytes) else set().union(*map(trigrams, query[1:]))
+
+
+class Index:
+    """Which trigrams the posting lists are kept for: a table from each three bytes to its number, 0 for none."""
+
+    def __init__(self, grams: list[bytes]):
+        self.grams = grams
+        self.numbers = np.zeros(1 << 24, np.uint8 if len(grams) < 256 else np.uint16)
+        for k, g in enumerate(grams):
+            self.numbers[int.from_bytes(g)] = k + 1
 
 
 class Segment:
-    """The inverted index of one batch: a posting list, as bits, for each trigram of the rules' queries."""
+    """The inverted index of one batch of texts."""
 
-    def __init__(self, texts: list[str], grams: list[str]):
+    def __init__(self, texts: list[str], index: Index):
         self.n = len(texts)
-        low = [t.lower() for t in texts]
-        self.postings = {g: np.fromiter((g in t for t in low), bool, self.n) for g in grams}
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
+        b = np.frombuffer(b"\xff".join(raw).lower(), np.uint8)  # no text holds that byte
+        code = b[:-2].astype(np.int32) << 16 if len(b) > 2 else np.empty(0, np.int32)
+        code |= b[1:-1].astype(np.int32) << 8 if len(b) > 2 else code
+        code |= b[2:] if len(b) > 2 else code
+        number = index.numbers.take(code)
+        at = np.flatnonzero(number)
+        posts = np.unique(number[at].astype(np.int64) * self.n + np.searchsorted(ends, at, side="right"))
+        cuts = np.searchsorted(posts, np.arange(1, len(index.grams) + 2) * self.n)
+        self.postings = {g: posts[cuts[k] : cuts[k + 1]] - (k + 1) * self.n for k, g in enumerate(index.grams)}
 
     def candidates(self, query: object) -> np.ndarray:
+        """Numbers of the texts that meet a query, in order."""
         if query is ALL:
-            return np.ones(self.n, bool)
-        if isinstance(query, str):
+            return np.arange(self.n)
+        if isinstance(query, bytes):
             return self.postings[query]
-        lists = [self.candidates(q) for q in query[1:]]
-        return (np.logical_and if query[0] == "and" else np.logical_or).reduce(lists)
+        kind, *parts = query
+        lists = sorted((self.candidates(q) for q in parts), key=len)
+        out = lists[0]
+        for x in lists[1:]:
+            if kind == "and" and not len(out):
+                break
+            out = np.intersect1d(out, x, assume_unique=True) if kind == "and" else np.union1d(out, x)
+        return out
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags)) for r in rules]
-        self.grams = sorted(set().union(*(trigrams(q) for _, _, q in self.rules)))
+        self.index = Index(sorted(set().union(*(trigrams(q) for _, _, q in self.rules))))
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text its (start, rank of the kind, end), in order."""
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        index = Segment(texts, self.grams)
+        segment = Segment(texts, self.index)
         for k, (rule, pattern, query) in enumerate(self.rules):
-            for i in np.flatnonzero(index.candidates(query)):
+            for i in segment.candidates(query).tolist():
                 found[i] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[i]) if rule.keep(m)]
         for x in found:
             x.sort()
@@ -211,12 +320,12 @@ def _without(text: str | None, spans: list[tuple[int, int, int]], mark: str) ->
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans (all kinds)."""
     found = find(docs.select("doc_id", "text")).drop("text")
     base = [r.kind for r in BASE]
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", *map(count, base), F.sha2(said(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *map(count, base), F.sha2(said(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"), F.size("secrets").cast("long").alias("n_spans"))
 
 
 def brute_force(text: str) -> list[tuple[str, int, int]]:
