@@ -7,7 +7,8 @@ random subsets of the lexicon, which keep between 1/8 and 1/2048 of it: an edit
 the sparse ones last. Two fingerprints are as like as the share of their non-empty slots that agree, at the rate where
 that is most: long texts agree in sparse subsets, and of short texts only the dense ones hold anything.
 
-Documents with fewer than FEW lexicon terms use all their terms. null text counts as empty; texts without any term have the
+A document with fewer than FEW lexicon terms is filled up to FEW with others of its terms, those with the smallest hashes: an edit that brings a
+lexicon term or takes one away exchanges one term, whatever their number. null text counts as empty; texts without any term have the
 empty fingerprint. Equal texts have equal fingerprints. Documents in order are those by doc_id (null first), then by text hash;
 the one after the last is the first.
 """
@@ -31,6 +32,8 @@ EMPTY = "-" * 8
 ENOUGH = 4
 #: Places of the lexicon's hash table.
 PLACES = 1 << 14
+#: Fine ranges of the order for each range that is dealt out.
+SLICES = 16
 
 
 def terms(text: Column) -> Column:
@@ -72,7 +75,8 @@ def fingerprint(text: Column, table: Column) -> Column:
     def band(cells: Column) -> Column:
         def chosen(all_: Column) -> Column:
             inside = F.filter(all_, lambda h: F.array_contains(F.get(cells, F.pmod(h, F.lit(PLACES)).cast("int")), h))
-            return let(inside, lambda x: F.array_sort(F.when(F.size(x) < FEW, all_).otherwise(x)))
+            filled = lambda x: F.concat(x, F.slice(F.array_sort(F.array_except(all_, x)), F.lit(1), F.lit(FEW) - F.size(x)))
+            return let(inside, lambda x: F.array_sort(F.when(F.size(x) < FEW, filled(x)).otherwise(x)))
 
         return let(terms(text), chosen)
 
@@ -95,29 +99,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(best, share(0, SUBSETS, 1), F.lit(0.0)))
 
 
-def with_next(df: DataFrame, column: str, out: str) -> DataFrame:
+def with_next(df: DataFrame, column: str, out: str, size: Column | None = None) -> DataFrame:
     """df (with ord and tie, its order) and the value of `column` in the row that follows; after the last comes the first.
 
-    Rows are dealt out by ranges of ord, whose borders are approximate quantiles. What follows a range's last row is the first
-    row of the next range: one row for each range is read again.
+    Rows are dealt out by ranges of ord of about equal size (of a row: `size`, or 1): SLICES fine ranges for each one wanted, whose borders are approximate quantiles,
+    are put together by their sums. What follows a range's last row is the first row of the next range: one row for each range is read again.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]) if parts > 1 else F.array(F.lit(0.5))
-    borders = sorted(set(df.agg(F.percentile_approx("ord", shares, F.lit(100 * parts))).first()[0] or []))
-    listed = F.from_json(F.lit(json.dumps(borders)), "array<bigint>")
-    df = df.withColumn("range", F.size(F.filter(listed, lambda b: b < F.col("ord"))))
-    firsts = sorted((r["range"], r["ord"]) for r in df.groupBy("range").agg(F.min("ord").alias("ord")).collect())  # a row for each range
+    fine = SLICES * parts
+    shares = F.array(*[F.lit((i + 1) / fine) for i in range(fine - 1)])
+    borders = sorted(set(df.agg(F.percentile_approx("ord", shares, F.lit(10 * fine))).first()[0] or []))
+    # rows up to a border lie in its range; the table of borders is as long as there are ranges
+    below = lambda x, last: F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(borders)).bit_length() + 1)), F.struct(F.lit(0).alias("a"), F.lit(len(borders)).alias("b")), lambda s, _: _halved(s, x, last), lambda s: s["a"])
+    slice_ = let(F.from_json(F.lit(json.dumps(borders)), "array<bigint>"), lambda listed: below(listed, F.col("ord")))
+    sizes = df.withColumn("slice", slice_).groupBy("slice").agg(F.sum(F.lit(1) if size is None else size).alias("n"), F.min("ord").alias("ord"))
+    sizes = sorted((r["slice"], r["n"], r["ord"]) for r in sizes.collect())  # SLICES rows for each range
+    total, done, ranges, firsts = sum(n for _, n, _ in sizes), 0, [], []
+    for s, n, o in sizes:
+        k = min(parts - 1, done * parts // max(1, total))
+        if not ranges or ranges[-1][1] != k:
+            firsts.append((k, o))
+        ranges.append((s, k))
+        done += n
+    of_slice = dict(ranges)
+    listed = F.split(F.lit(",".join(str(of_slice.get(s, 0)) for s in range(len(borders) + 1))), ",").cast("array<int>")
+    df = df.withColumn("slice", slice_).withColumn("range", F.get(listed, F.col("slice"))).drop("slice")
     after = [{"range": r, "ord": firsts[(k + 1) % len(firsts)][1]} for k, (r, _) in enumerate(firsts)]
     step = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(after)), "array<struct<range:int,ord:bigint>>")))
     heads = df.where(F.col("ord").isin([o for _, o in firsts])).groupBy("ord").agg(F.min(F.struct("tie", column))[column].alias("head"))
     heads = step.join(heads, "ord").select(F.col("range").alias("r"), "head")
     follows = F.lead(F.struct(column)).over(Window.partitionBy("range").orderBy("ord", "tie"))
-    rows = df.withColumn("follows", follows)
+    rows = df.repartitionById(parts, F.col("range")).withColumn("follows", follows)
     out_ = rows.join(heads, (F.col("range") == F.col("r")) & F.col("follows").isNull(), "left")
     return out_.withColumn(out, F.when(F.col("follows").isNotNull(), F.col("follows")[column]).otherwise(F.col("head"))).drop("follows", "range", "r", "head")
 
 
+def _halved(s: Column, listed: Column, value: Column) -> Column:
+    """One step of a search for the number of borders that are below value, between a and b."""
+    mid = F.floor((s["a"] + s["b"]) / 2).cast("int")
+    under = F.get(listed, mid) < value
+    return F.when(s["a"] >= s["b"], s).when(under, F.struct((mid + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), mid.alias("b")))
+
+
 def edited(text: Column, follows: Column) -> Column:
     """The last quarter of a text replaced by the beginning of the one that follows."""
     k = F.floor(F.length(text) / 4).cast("int")
@@ -136,7 +160,7 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", body.alias("text"))
     words = lexicon(rows)
     ordered = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("ord"), F.xxhash64("text").alias("tie"), "text")
-    both = with_next(ordered, "text", "next_text").withColumn("edit", edited(F.col("text"), F.col("next_text")))
+    both = with_next(ordered, "text", "next_text", F.octet_length("text") + 64).withColumn("edit", edited(F.col("text"), F.col("next_text")))
     both = both.select("doc_id", "ord", "tie", "text", "edit").withColumn("table", _table(words))
     prints = both.select("doc_id", "ord", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edit", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text"), F.col("table")).alias("fingerprint"), fingerprint(F.col("edit"), F.col("table")).alias("edited_fingerprint"))
     out = with_next(written(prints, "fingerprints"), "fingerprint", "next_fingerprint")
