@@ -27,8 +27,9 @@ from .common import appended, held_out, keep_only, written
 
 SAMPLE = 6000
 #: Terms and stems, at most, and what makes one: toxic documents, how much more often than in clean ones, and evidence (natural
-#: logarithm of the odds against chance; over that of the vocabulary's size, so that chance alone gives no term).
-TERMS, STEMS, SUPPORT, LIFT, STEM_LIFT, EVIDENCE = 1000, 300, 4, 12.0, 6.0, 15.0
+#: logarithm of the odds against chance), over that of the number of words that have SUPPORT documents at all. So what is asked for
+#: follows the sample, and chance alone gives exp(-EVIDENCE) terms.
+TERMS, STEMS, SUPPORT, LIFT, STEM_LIFT, EVIDENCE = 1000, 300, 4, 12.0, 6.0, 2.0
 STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 4
 ONE_FROM, TWO_FROM = 5, 10
 WINDOW = 8
@@ -247,7 +248,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 def _words(col):
     """Distinct lower-case words without marks at their ends."""
     trimmed = F.transform(F.array_distinct(F.split(F.lower(col), r"\s+")), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.array_distinct(F.filter(trimmed, lambda w: (F.length(w) >= 3) & (F.length(w) <= 40) & w.rlike(r"^\p{L}+$")))
+    return F.array_distinct(F.filter(trimmed, lambda w: (F.length(w) >= 3) & w.rlike(r"^\p{L}+$")))
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
@@ -264,7 +265,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     seen = [F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good")]
     base, share = bad / (bad + good), F.col("bad") / (F.col("bad") + F.col("good"))
     odds = F.col("bad") * F.log(share / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    marked = lambda df, least: df.withColumn("lift", lift).withColumn("odds", odds).where((F.col("bad") >= SUPPORT) & (F.col("lift") >= least) & (F.col("odds") >= EVIDENCE))
+
+    def marked(counts: DataFrame, least: float) -> DataFrame:
+        counts = written(counts.where(F.col("bad") + F.col("good") >= SUPPORT), "counts")
+        evidence = math.log(max(1, counts.count())) + EVIDENCE
+        return counts.withColumn("lift", lift).withColumn("odds", odds).where((F.col("bad") >= SUPPORT) & (F.col("lift") >= least) & (F.col("odds") >= evidence))
+
     terms = [r["word"] for r in marked(words.groupBy("word").agg(*seen), LIFT).orderBy(F.desc("odds"), "word").limit(TERMS).collect()]
     beginnings = words.select("toxic", "row", "word", F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])).alias("stem")).where("stem is not null")
     stems = beginnings.groupBy("stem", "row", "toxic").agg(F.min("word").alias("least"), F.max("word").alias("most")).groupBy("stem")

@@ -274,6 +274,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[200] == "card:12:25" and got[201] == got[202] == ""
 
 
+def test_bootstrapping_goes_on_until_nothing_is_new(spark):
+    """Formats with blanks, contexts of two words and of the word after, and identifiers that only a third round reaches."""
+    rows = [(i, f"you may call {['+1 988 555 2', '+44 20 7946 0'][i % 2]}{i:03d} after noon, line {i}") for i in range(200)]
+    rows += [(1000 + i, f"or call 01 555 24{i:02d} after noon") for i in range(40)]
+    # what the first round finds stands beside "ring me", what the second finds beside "dial now"
+    rows += [(1200 + i, f"just ring me 01 555 24{i:02d} then") for i in range(40)] + [(1300 + i, f"so ring me 07 000 12{i}9 ok") for i in range(8)]
+    rows += [(1400 + i, f"and dial now 07 000 12{i}9 thus") for i in range(8)] + [(1500, "x dial now 06 111 2223 y"), (1501, "in 1999 20 000 people")]
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i in (1000, 1205, 1303, 1406, 1500):
+        a, b = got[i].spans.split(":")[1:]
+        assert got[i].spans.startswith("phone:") and text[i][int(a) : int(b)].replace(" ", "").isdigit() and got[i].n_spans == 1 and got[i].n_phone == 0
+    assert got[1501].spans == ""
+
+
 def test_entity_rows(spark, hostile, empty):
     got = pii.digests(hostile).collect()
     assert len(got) == len(HOSTILE) and {r.doc_id: r.n_card for r in got}[6] == 1
@@ -447,7 +462,32 @@ def test_trigram_queries_never_miss():
     for text, spans in zip(texts_, found, strict=True):
         full = sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text, r.flags) if r.keep(m))
         assert spans == full
-    assert secrets.trigram_query(r"[0-9a-f]{16,}") is True and secrets.trigram_query("abcd") == ("and", "abc", "bcd")
+    assert secrets.trigram_query(r"[0-9a-f]{16,}") is True and secrets.trigram_query("abcd") == ("and", b"abc", b"bcd")
+
+
+@pytest.mark.parametrize(("pattern", "flags", "wanted"), [
+    ("a(?:bc|xyz)d", 0, ("or", ("and", b"abc", b"bcd"), ("and", b"axy", b"xyz", b"yzd"))),
+    (r"\babc\.d?", 0, ("or", ("and", b"abc", b"bc."), ("and", b"abc", b"bc.", b"c.d"))),
+    (r"(?P<n>abc)+[^x]{2,3}", 0, b"abc"),
+    ("(?i:abc)", 0, True),
+    ("skim", re.I, True),
+    ("AbC", re.I | re.A, b"abc"),
+    (r"[\]a]bc\x41{3}", 0, ("or", ("and", b"]bc", b"bca", b"caa", b"aaa"), ("and", b"abc", b"bca", b"caa", b"aaa"))),
+    (".*", 0, True),
+    ("é€", 0, ("and", b"\xc3\xa9\xe2", b"\xa9\xe2\x82", b"\xe2\x82\xac")),
+])
+def test_trigram_queries(pattern, flags, wanted):
+    got = secrets.trigram_query(pattern, flags)
+    assert got == wanted or isinstance(wanted, tuple) and got[0] == wanted[0] and set(got[1:]) == set(wanted[1:])
+
+
+def test_postings_are_the_texts_that_hold_a_trigram():
+    rng = random.Random(2)
+    said = ["".join(rng.choices("abAB é", k=rng.randrange(12))) for _ in range(200)]
+    grams = sorted({b"aba", b"bab", b"aaa", b" \xc3\xa9", b"zzz"})
+    segment = secrets.Segment(said, secrets.Index(grams))
+    for g in grams:
+        assert segment.postings[g].tolist() == [i for i, t in enumerate(said) if g in t.encode().lower()]
 
 
 # 8

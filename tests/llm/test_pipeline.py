@@ -1,26 +1,28 @@
 """The corpus pipeline, stage by stage, against brute force."""
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
 from lectern.llm import minhash, secrets
 
 
 def test_stages(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    extra = spark.createDataFrame([(10**9, "1234 5678 ...", "en", "x", 13), (10**9 + 1, None, "en", "x", 0), (None, "the one without an id is there", "en", "x", 30)], docs.schema)
+    extra = spark.createDataFrame([(10**9, "1234 5678 ...", "en", "x", 13), (10**9 + 1, None, "en", "x", 0), (None, "the one without an id is there", "en", "x", 30), (10**9 + 2, "zxqj vwkq xjzq kqwv zzxq jjqk vwxz qkjx qzwx jkvq", None, "x", 50), (2**53 + 1, "des mots de la langue", "fr", "x", 21)], docs.schema)
     docs = docs.union(extra)
     names = [n for n, _ in P.STAGES]
     assert names == ["language", "toxicity", "near_copies", "secrets", "packing"]
 
     said = P.languages(spark, docs, tiny).cache()
     ids = {r.doc_id for r in said.select("doc_id").collect()}
-    assert 10**9 not in ids and 10**9 + 1 not in ids and None in ids and said.columns == docs.columns
-    assert said.count() >= 0.99 * (docs.count() - 2)
+    assert not {10**9, 10**9 + 1, 10**9 + 2} & ids and {None, 2**53 + 1} <= ids and said.columns == docs.columns
+    assert said.count() >= 0.99 * (docs.count() - 3)
 
     calm = P.toxic(spark, said, tiny).cache()
     assert calm.columns == docs.columns and 0.8 * said.count() < calm.count() < said.count()
 
     kept = P.near_copies(spark, calm, tiny).cache()
-    wanted = minhash.brute_force({r.doc_id: r.text for r in calm.where("doc_id is not null").collect()})
+    wanted = minhash.brute_force({r.doc_id: r.text for r in calm.where("doc_id is not null").collect()}, P.PERCENT)
     assert {r.doc_id for r in kept.collect()} == set(wanted.values()) | {None}
 
     clean = P.without_secrets(spark, kept, tiny).collect()
@@ -34,6 +36,15 @@ def test_run(spark, tiny):
     assert out.count() > 100
 
 
+def test_empty_and_clashing(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(3).withColumn("node", F.lit("clash")).withColumn("toxicity", F.lit("clash")).withColumn("lang_pred", F.lit("clash"))
+    for rows in (docs, docs.limit(0)):
+        for name, stage in P.STAGES:
+            out = stage(spark, rows, tiny)
+            n = out.count()
+            assert name == "packing" or set(docs.columns) - {"toxicity", "lang_pred"} <= set(out.columns) and n <= rows.count()
+
+
 def test_repeated_rows_stay_once(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(5)
     assert P.near_copies(spark, docs.union(docs), tiny).count() == P.near_copies(spark, docs, tiny).count()
