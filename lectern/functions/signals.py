@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bigint, lines, or_empty, strip, word_count
+from .text import bigint, let, lines, or_empty, strip, word_count
 
-_INLINE = r"(?<!\$)\$(?!\$)([^$]+?)\$(?!\$)"
+# What counts as a formula, image, link or line of a kind.
+INLINE_FORMULA = r"(?<!\$)\$(?!\$)([^$]+?)\$(?!\$)"
+BLOCK_FORMULA = r"\$\$[\s\S]+?\$\$"
+IMAGE, LINK_REFERENCE, IMAGE_REFERENCE = r"!\[.*?\]\(.*?\)", r"\[([^\]]*)\]\(([^)]+)\)", r"!\[([^\]]*)\]\(([^)]+)\)"
+HEADING_LINE, TABLE_LINE, LIST_LINES = r"^#{1,6}\s+", r"^\s*\|", (r"^\s*[-*+]\s+", r"^\s*\d+\.\s+")
 
 #: The counters of a text, and what each adds to its score.
 WEIGHTS = {"word_count": 0.001, "heading_count": 5, "table_lines": 3, "formula_block_count": 10, "formula_inline_count": 2, "code_fence_count": 5, "image_count": 3}
 
 # Signs of pseudo code.
-ALGORITHM_TITLE = r"(?i)^(?:Algorithm|Procedure|Function|Subroutine|Listing)\s+\d+"
+ALGORITHM_TITLE = r"(?i)^(?U:\s*)(?:Algorithm|Procedure|Function|Subroutine|Listing)\s+\d+"
 ALGORITHM_HEADER = r"(?im)^(?:Require|Ensure|Input|Output|Precondition|Postcondition)\s*:"
 ALGORITHM_KEYWORD = r"(?i)(?:^|\s)(?:if\b|then\b|else\b|end\s+(?:if|for|while|function|procedure|loop)\b|for\s+(?:each|all)?\b|while\b|\bdo\b|repeat\b|until\b|return\b|function\b|procedure\b|begin\b|call\b)"
 ALGORITHM_SIGNS = "[←→≠≤≥∅▷◃∈∉∀∃⊂⊃∪∩∧∨≜≝≐⊕⊗]"
-NUMBERED = r"^\s*\d+\s*:\s+\S"
+NUMBERED = r"^(?U:\s*)\d+\s*:\s+\S"
 CAPTIONS = (r"(?i)^(?:Figure|Fig\.?|Image|Diagram|Chart|Graph|Illustration)\s*\d+", r"^(?:图|插图|示意图|架构图|流程图)\s*\d+", r"(?i)^(?:Table|表)\s*\d+")
 
 
@@ -43,13 +47,13 @@ def counters(x: Column) -> dict[str, Column]:
         "word_count": word_count(x),
         "char_count": bigint(F.length(x)),
         "line_count": F.when(x == "", F.lit(0).cast("bigint")).otherwise(bigint(F.size(lines(x)))),
-        "heading_count": lines_like(x, r"^#{1,6}\s+"),
-        "table_lines": lines_like(x, r"^\s*\|"),
-        "formula_block_count": count_of(x, r"\$\$[\s\S]+?\$\$"),
-        "formula_inline_count": count_of(x, _INLINE),
+        "heading_count": lines_like(x, HEADING_LINE),
+        "table_lines": lines_like(x, TABLE_LINE),
+        "formula_block_count": count_of(x, BLOCK_FORMULA),
+        "formula_inline_count": count_of(x, INLINE_FORMULA),
         "code_fence_count": bigint(F.floor(count_of(x, "```") / 2)),
-        "image_count": count_of(x, r"!\[.*?\]\(.*?\)"),
-        "list_count": lines_like(x, r"^\s*[-*+]\s+", r"^\s*\d+\.\s+"),
+        "image_count": count_of(x, IMAGE),
+        "list_count": lines_like(x, *LIST_LINES),
     }
 
 
@@ -75,23 +79,29 @@ def is_caption(x: Column) -> Column:
 
 
 def algorithm_score(x: Column) -> Column:
-    """Points for the signs of pseudo code, less what speaks for prose; 0 for Markdown tables."""
+    """Points for the signs of pseudo code, less what speaks for prose; 0 for Markdown tables. One pass over the lines."""
     x = or_empty(x)
-    filled = F.filter(lines(x), lambda s: strip(s) != "")
-    n = F.size(filled)
-    titled, headed = strip(x).rlike(ALGORITHM_TITLE), x.rlike(ALGORITHM_HEADER)
-    numbered = F.size(F.filter(filled, lambda s: strip(s).rlike(NUMBERED)))
-    keywords = F.size(F.filter(filled, lambda s: s.rlike(ALGORITHM_KEYWORD)))
-    signs = F.regexp_count(x, F.lit(ALGORITHM_SIGNS))
-    width = F.aggregate(filled, F.lit(0), lambda a, s: a + F.length(s)) / F.greatest(n, F.lit(1))
-    points = lambda test, p: F.when(test, p).otherwise(0)
-    score = points(titled, 5) + points(headed, 3) + F.least(numbered, F.lit(5)) + F.least(keywords, F.lit(5)) + points(signs >= 2, 2)
-    score = score - points(width > 120, 3) - points((n < 3) & ~titled, 2) - points(~(titled | headed | (numbered >= 2) | (signs >= 2)), 2)
-    return bigint(F.when((n == 0) | x.rlike(r"(?m)^\|[\s-]+\|"), 0).otherwise(score))
+    one = lambda test: test.cast("int")
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("n", "numbered", "keywords", "chars")])
+
+    def add(a: Column, s: Column) -> Column:
+        more = F.struct((a["n"] + 1).alias("n"), (a["numbered"] + one(s.rlike(NUMBERED))).alias("numbered"), (a["keywords"] + one(s.rlike(ALGORITHM_KEYWORD))).alias("keywords"), (a["chars"] + F.length(s)).alias("chars"))
+        return F.when(s.rlike(r"(?U)\S"), more).otherwise(a)
+
+    found = F.struct(F.aggregate(lines(x), zero, add).alias("lines"), x.rlike(ALGORITHM_TITLE).alias("titled"), x.rlike(ALGORITHM_HEADER).alias("headed"), F.regexp_count(x, F.lit(ALGORITHM_SIGNS)).alias("signs"), x.rlike(r"(?m)^\|[\s-]+\|").alias("table"))
+
+    def score(f: Column) -> Column:
+        n, points = f["lines"]["n"], lambda test, p: F.when(test, p).otherwise(0)
+        many = f["signs"] >= 2
+        out = points(f["titled"], 5) + points(f["headed"], 3) + F.least(f["lines"]["numbered"], F.lit(5)) + F.least(f["lines"]["keywords"], F.lit(5)) + points(many, 2)
+        out = out - points(f["lines"]["chars"] / F.greatest(n, F.lit(1)) > 120, 3) - points((n < 3) & ~f["titled"], 2) - points(~(f["titled"] | f["headed"] | (f["lines"]["numbered"] >= 2) | many), 2)
+        return bigint(F.when((n == 0) | f["table"], 0).otherwise(out))
+
+    return let(found, score)
 
 
 def is_algorithm(x: Column, threshold: int = 5) -> Column:
-    return (strip(or_empty(x)) != "") & (algorithm_score(x) >= threshold)
+    return or_empty(x).rlike(r"(?U)\S") & (algorithm_score(x) >= threshold)
 
 
 def has_markdown(x: Column) -> Column:
@@ -104,11 +114,11 @@ def has_markdown(x: Column) -> Column:
 
 def link_count(x: Column) -> Column:
     """Links and image references alike."""
-    return count_of(or_empty(x), r"\[([^\]]*)\]\(([^)]+)\)")
+    return count_of(or_empty(x), LINK_REFERENCE)
 
 
 def image_count(x: Column) -> Column:
-    return count_of(or_empty(x), r"!\[([^\]]*)\]\(([^)]+)\)")
+    return count_of(or_empty(x), IMAGE_REFERENCE)
 
 
 def page_metadata(url: Column, title: Column, markdown: Column) -> dict[str, Column]:

@@ -30,6 +30,19 @@ def bigint(x: Column) -> Column:
     return x.cast("bigint")
 
 
+def sums_before(numbers: Column, block: int = 256) -> Column:
+    """For each number the sum of those before it; by blocks, so that a long array takes no quadratic time."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    of = lambda i: F.floor(i / block).cast("int")
+
+    def placed(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), of(F.size(a) - 1)), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
+        earlier = let(blocks, lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b))))
+        return let(earlier, lambda t: F.transform(a, lambda _, i: F.get(t, of(i)) + total(F.slice(a, of(i) * block + 1, i % block))))
+
+    return let(numbers, lambda a: F.when(F.size(a) > 0, placed(a)).otherwise(F.array().cast("array<int>")))
+
+
 def lines(x: Column) -> Column:
     return F.split(or_empty(x), "\n", -1)
 

@@ -122,18 +122,10 @@ def headers(line: Column) -> Column:
 
 
 def runs(text: Column) -> Column:
-    """Maximal runs of table rows, in order, as arrays of trimmed lines; a fold over the lines."""
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"))
-
-    def step(state: Column, line: Column) -> Column:
-        row = is_row(line)
-        ended = ~row & (F.size(state["now"]) > 0)
-        return F.struct(
-            F.when(ended, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
-            F.when(row, F.concat(state["now"], F.array(strip(line)))).otherwise(F.array().cast("array<string>")).alias("now"),
-        )
-
-    return F.aggregate(lines(text), start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    """Maximal runs of table rows, in order, as arrays of trimmed lines: other lines become empty, and two line breaks part the runs. Linear in the lines."""
+    rows = F.array_join(F.transform(lines(text), lambda s: F.when(is_row(s), strip(s)).otherwise("")), "\n")
+    parts = F.filter(F.split(F.btrim(rows, F.lit("\n")), r"\n\n+", -1), lambda p: p != "")
+    return F.transform(parts, lambda p: F.split(p, "\n", -1))
 
 
 def tables_in_text(docs: DataFrame, key: str, text: str) -> DataFrame:

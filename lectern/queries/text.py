@@ -17,7 +17,7 @@ def _text(*parts: str) -> str:
     return "concat(" + ", chr(10), ".join(parts) + ")"
 
 
-#: Markdown made from a document: something for every pass.
+#: Markdown made from a document: something for every pass, and the whole text.
 MARKDOWN = _text(
     "'# Report ', cast(doc_id as string)",
     "'Intro -- by  ', lang, ' , see .Then More'",
@@ -31,7 +31,7 @@ MARKDOWN = _text(
     "'![](img/blue-sky_photo.v2.png) and [site] (http://x.org/', cast(doc_id as string), ')'",
     "'Cost $a_1 + b$ and $$E = mc^2$$ **bold** _it_ `code`'",
     "'## Next'",
-    "replace(replace(substr(text, 1, 80), chr(10), ' '), '$', '')",
+    "text",
 )
 #: A text that is sometimes pseudo code.
 PSEUDO = "concat(case when doc_id % 3 = 0 then concat('Algorithm ', cast(doc_id as string), ' Sort', chr(10)) else '' end, case when doc_id % 2 = 0 then concat('Require: a list', chr(10), '1: for each x do', chr(10), '2: if x ≤ y then return x', chr(10), '3: end for', chr(10)) else '' end, case when doc_id % 5 = 0 then concat('| a | b |', chr(10), '| - | - |', chr(10)) else '' end, text)"
@@ -178,9 +178,9 @@ def md_line_classes(spark, sf_dir):
     return rows.groupBy(M.line_class(F.col("s")).alias("line_class")).agg(F.count("*").alias("n"), F.count_if(M.continues_list(F.col("s"))).alias("continued"))
 
 
-@R.add("md_typography", "select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(t, '--', '—'), ' {2,}', ' ', 'g'), '[ \\t]+([.!?:;,])', '\\1', 'g'), '([.!?])[ \\t]*([A-Z])', '\\1 \\2', 'g') as tidy from (select doc_id, concat(lang, ' -- a  b , c.Then ', replace(replace(substr(text, 1, 60), '$', ''), '-', '')) as t from documents)")
+@R.add("md_typography", "select doc_id, regexp_replace(regexp_replace(regexp_replace(replace(t, '--', '—'), ' {2,}', ' ', 'g'), '[ \\t]+([.!?:;,])', '\\1', 'g'), '([.!?])[ \\t]*([A-Z])', '\\1 \\2', 'g') as tidy from (select doc_id, concat(lang, ' -- a  b , c.Then ', text) as t from documents)")
 def md_typography(spark, sf_dir):
-    made = _made(spark, sf_dir, "concat(lang, ' -- a  b , c.Then ', replace(replace(substr(text, 1, 60), '$', ''), '-', ''))")
+    made = _made(spark, sf_dir, "concat(lang, ' -- a  b , c.Then ', text)")
     return made.select("doc_id", M.typography(F.col("md")).alias("tidy"))
 
 
@@ -241,8 +241,8 @@ _KEYS = r"(?i)(?:^|\s)(?:if\b|then\b|else\b|end\s+(?:if|for|while|function|proce
     "select doc_id, score, score >= 5 as is_algorithm from h",
 )
 def algorithm_score(spark, sf_dir):
-    x = F.col("md")
-    return _made(spark, sf_dir, PSEUDO).select("doc_id", S.algorithm_score(x).alias("score"), S.is_algorithm(x).alias("is_algorithm"))
+    scored = _made(spark, sf_dir, PSEUDO).select("doc_id", S.algorithm_score(F.col("md")).alias("score"))
+    return scored.withColumn("is_algorithm", F.col("score") >= 5)
 
 
 @R.add("markdown_structure", f"with m as (select doc_id, case when doc_id % 4 = 0 then {MARKDOWN} else text end as x from documents), f as (select doc_id, regexp_matches(x, '(?m)^#{{1,6}}\\s+') as h, regexp_matches(x, '(?m)^\\s*[-*+]\\s+') as l, contains(x, '**') or contains(x, '__') as b, contains(x, '*') or contains(x, '_') as i, contains(x, '[') and contains(x, '](') as k, contains(x, '`') as c from m) select doc_id, h or (h::int + l::int + b::int + i::int + k::int + c::int) >= 2 as structured from f")
@@ -263,46 +263,3 @@ def page_metadata(spark, sf_dir):
     made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://x.org/"), "source").alias("url"), F.expr(MARKDOWN).alias("md"))
     found = S.page_metadata(F.col("url"), F.lit(""), F.col("md"))
     return made.select("doc_id", *[found[n].alias(n) for n in ("url", "domain", "word_count", "character_count", "link_count", "image_ref_count")])
-
-
-#: The same with the whole text as it is. These queries have no SQL; tests hold them against plain Python.
-WHOLE = MARKDOWN.replace("replace(replace(substr(text, 1, 80), chr(10), ' '), '$', '')", "text")
-
-
-def _whole(name, made):
-    @R.add(f"{name}_whole")
-    def query(spark, sf_dir):
-        return _made(spark, sf_dir, WHOLE).select("doc_id", made(F.col("md")).alias("tidy"))
-
-
-for _name, _pass in {"md_to_text": M.to_text, "md_links": M.tidy_links, "md_lists": M.tidy_lists, "md_headings": M.tidy_headings, "md_quotes": M.tidy_quotes, "md_tables": M.tidy_tables, "md_clean_up": M.clean_up, "md_format": M.format_markdown, "markdown_structure": S.has_markdown}.items():
-    _whole(_name, _pass)
-
-
-@R.add("md_typography_whole")
-def md_typography_whole(spark, sf_dir):
-    return _made(spark, sf_dir, "concat(lang, ' -- a  b , c.Then ', text)").select("doc_id", M.typography(F.col("md")).alias("tidy"))
-
-
-@R.add("md_line_classes_whole")
-def md_line_classes_whole(spark, sf_dir):
-    rows = _made(spark, sf_dir, WHOLE).select(F.explode(T.lines(F.col("md"))).alias("s"))
-    return rows.groupBy(M.line_class(F.col("s")).alias("line_class")).agg(F.count("*").alias("n"), F.count_if(M.continues_list(F.col("s"))).alias("continued"))
-
-
-@R.add("quality_signals_whole")
-def quality_signals_whole(spark, sf_dir):
-    found = S.counters(F.col("md"))
-    return _made(spark, sf_dir, WHOLE).select("doc_id", *[found[n].alias(n) for n in _signals("md")])
-
-
-@R.add("heuristic_score_whole")
-def heuristic_score_whole(spark, sf_dir):
-    return _made(spark, sf_dir, WHOLE).select("doc_id", F.round(S.heuristic_score(F.col("md")), 6).alias("score"))
-
-
-@R.add("page_metadata_whole")
-def page_metadata_whole(spark, sf_dir):
-    made = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://x.org/"), "source").alias("url"), F.expr(WHOLE).alias("md"))
-    found = S.page_metadata(F.col("url"), F.lit(""), F.col("md"))
-    return made.select("doc_id", *[found[n].alias(n) for n in ("url", "domain", "word_count", "character_count", "link_count", "image_ref_count")])
