@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import Query, assets, documents, layout, spans, text, web
+from .queries import Query, assets, conversion, documents, engines, layout, spans, text, web
 
-_PARTS = (text, web, layout, assets, documents, spans)
+_PARTS = (text, web, layout, assets, documents, spans, engines, conversion)
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}

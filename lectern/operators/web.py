@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..sources import dom
@@ -24,6 +25,7 @@ PARTS = {
     "main_html": "string",
     "cleaned_html": "string",
     "markdown": "string",
+    "plain_markdown": "string",
     "tables": "array<struct<markdown:string,rows:int,columns:int,headers:array<string>,caption:string,cells:array<array<string>>>>",
     "images": "array<struct<src:string,alt:string,title:string,width:int,height:int>>",
     "code_blocks": "array<struct<code:string,language:string>>",
@@ -49,14 +51,17 @@ def _page(html: str | None, base: str | None, want: tuple[str, ...], config: dic
             "code_blocks": lambda: dom.code_blocks(root),
             "formulas": lambda: dom.formulas(root),
             "fields": lambda: dom.extract(root, config or {}),
+            "plain_markdown": lambda: dom.plain_markdown(html),
         }
         out |= {k: make[k]() for k in want if k in make}
         if {"cleaned_html", "markdown", "tables", "images"} & set(want):
             clean = dom.sanitize(dom.main_content(root).html(), base)
             made = {"cleaned_html": clean.html, "markdown": lambda: dom.markdown(clean), "tables": lambda: dom.tables(clean), "images": lambda: dom.images(clean, base)}
             out |= {k: f() for k, f in made.items() if k in want}
-    except Exception as e:  # noqa: BLE001 - one bad page must not end the job; it has its error in its row
+    except Exception as e:  # noqa: BLE001 - one bad page must not end the job; it has its error in its row, and its text as it is
         out["error"] = f"{type(e).__name__}: {e}"
+        if "markdown" in want:
+            out["markdown"] = dom.plain_markdown(html)
     return out
 
 
@@ -68,15 +73,20 @@ def perceive(pages: DataFrame, *want: str, html: str = "html", url: str = "url",
     rest = [f for f in pages.schema.fields if f.name != html and f.name not in want]
     schema = T.StructType([*rest, *(T.StructField(w, T._parse_datatype_string(PARTS[w])) for w in want)])
     keep = [f.name for f in rest]
+    read = list(dict.fromkeys([*keep, html, *([url] if url in pages.columns else [])]))
+    types = to_arrow_schema(T.StructType(schema.fields[len(rest) :])).types
     rules = dom.normalize_config(config) if config else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            bases = x[url] if url in x else [None] * len(x)
-            found = [_page(h, b, want, rules) for h, b in zip(x[html], bases, strict=True)]
-            yield pd.concat([x[keep].reset_index(drop=True), pd.DataFrame({w: pd.Series([f.get(w) for f in found], dtype=object) for w in want})], axis=1)
+            # other columns pass as they are: as a frame, one null would make floating-point numbers of the integers beside it
+            of = lambda name, x=x: x.column(read.index(name))
+            bases = of(url).to_pylist() if url in read else [None] * len(x)
+            found = [_page(h, b, want, rules) for h, b in zip(of(html).to_pylist(), bases, strict=True)]
+            made = [pa.array([list(v.items()) if isinstance(v := f.get(w), dict) else v for f in found], t) for w, t in zip(want, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(of, keep), *made], names=[*keep, *want])
 
-    return pages.select(*keep, html).mapInPandas(run, schema)
+    return pages.select(*read).mapInArrow(run, schema)
 
 
 def discover_links(pages: DataFrame, filter_domains: list[str] | None = None, exclude_domains: list[str] | None = None, internal_only: bool = False) -> DataFrame:
@@ -102,7 +112,7 @@ def link_summary(pages: DataFrame) -> DataFrame:
 
 
 def inspect_pages(pages: DataFrame) -> DataFrame:
-    return perceive(pages.select("page_id", "url", F.substring("html", 1, 10_000).alias("html")), "title", "description").select("page_id", "url", "title", "description")
+    return perceive(pages.select("page_id", "url", "html"), "title", "description").select("page_id", "url", "title", "description")
 
 
 def audit(pages: DataFrame, most: int = 3) -> DataFrame:

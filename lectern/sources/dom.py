@@ -18,7 +18,7 @@ DROPPED = frozenset("script style nav header footer aside advertisement ads butt
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 blockquote pre ul ol table hr section article figure figcaption details".split())
 CODE = frozenset(("pre", "code", "samp"))
 NOISE = re.compile(
-    r"(?<![a-z0-9])(?:ads?|advertisement|sidebar|nav|menu)(?![a-z0-9])|newsletter|subscribe|subscription|signup|sign-up|mailing-list|social|share|cookie|consent|gdpr"
+    r"(?<![a-z0-9])(?:ads?|advertisement|sidebar|nav|menu)(?![a-z0-9])|newsletter|subscribe|subscription|signup|sign-up|mailing-list|social|share|sharing-widget|cookie|consent|gdpr"
     r"|copy-button|copy-btn|clipboard|code-toolbar|carousel|slider|gallery|swiper|slick|tooltip|popover|modal|dialog|overlay|toast",
     re.I,
 )
@@ -233,18 +233,22 @@ def is_placeholder(src: str | None) -> bool:
     return not (src or "").strip() or bool(re.match(r"data:image/(?:gif|svg)|about:blank", src.strip(), re.I))
 
 
+# Where players are embedded, and the page of what they play.
 VIDEOS = (
-    (r"(?:youtube(?:-nocookie)?\.com/embed/)([\w-]+)", "https://www.youtube.com/watch?v={}"),
-    (r"youtu\.be/([\w-]+)", "https://www.youtube.com/watch?v={}"),
-    (r"player\.vimeo\.com/video/(\d+)", "https://vimeo.com/{}"),
-    (r"player\.bilibili\.com/player\.html\?.*?bvid=(\w+)", "https://www.bilibili.com/video/{}"),
-    (r"dailymotion\.com/embed/video/(\w+)", "https://www.dailymotion.com/video/{}"),
+    (r"https?://(?:www\.)?youtube\.com/embed/([A-Za-z0-9_-]{11})", "https://www.youtube.com/watch?v={}"),
+    (r"https?://(?:www\.)?youtube\.com/shorts/([A-Za-z0-9_-]{11})", "https://www.youtube.com/watch?v={}"),
+    (r"https?://youtu\.be/([A-Za-z0-9_-]{11})", "https://www.youtube.com/watch?v={}"),
+    (r"https?://player\.vimeo\.com/video/(\d+)", "https://vimeo.com/{}"),
+    (r"https?://player\.bilibili\.com/player\.html\?.*bvid=(BV[A-Za-z0-9]+)", "https://www.bilibili.com/video/{}"),
+    (r"https?://player\.bilibili\.com/player\.html\?.*aid=(\d+)", "https://www.bilibili.com/video/av{}"),
+    (r"https?://(?:www\.)?bilibili\.com/video/(BV[A-Za-z0-9]+)", "https://www.bilibili.com/video/{}"),
+    (r"https?://(?:www\.)?bilibili\.com/video/av(\d+)", "https://www.bilibili.com/video/av{}"),
 )
 
 
 def video_page(src: str) -> str:
     for pattern, page in VIDEOS:
-        if m := re.search(pattern, src):
+        if m := re.match(pattern, src, re.I):
             return page.format(m[1])
     return src
 
@@ -408,6 +412,20 @@ def markdown(root: Node) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join(_render(root, "")).strip())
 
 
+def plain_markdown(html: str | None) -> str:
+    """A page without a renderer: tables as Markdown, every other line of text a paragraph. Any input gives a text."""
+    root = parse(html)
+    for n in list(root.walk()):
+        if n.tag in ("script", "style", "nav", "header", "footer", "!--"):
+            n.remove()
+    for n in root.all("table"):
+        rows = [[c.text().strip() for c in r.all("td", "th")] for r in n.all("tr")]
+        if any(rows):
+            _replace(n, f"\n\n{table_markdown([r for r in rows if r])}\n\n".replace("\n", "\x00"))
+    lines = [x.strip() for x in root.text().replace("\x00\x00", "\n").split("\n")]
+    return "\n\n".join(x.replace("\x00", "\n") for x in lines if x)
+
+
 def _inline(n: Node) -> str:
     return re.sub(r"\s+", " ", "".join(_render(n, ""))).strip()
 
