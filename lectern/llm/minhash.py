@@ -8,8 +8,7 @@ candidates share long prefixes, where it is sparse short ones do, and no bucket
 node, which also splits regions of equal signatures; rows at the ends of partitions are looked at together, so candidates are the same however
 the orders are cut.
 
-Candidates whose signatures agree too little for a link (five standard deviations below the threshold) are set aside. Of the others
-each node's likeliest is confirmed first; the rest only where it joins groups that are still apart.
+Candidates whose signatures agree too little for a link (five standard deviations below the threshold) are set aside, the others are confirmed.
 
 Then every larger region (nodes that share LEAST values of a tree, more than WIDTH + 1) that still holds several groups is compared as a whole: its nodes
 are dealt out as pairs of blocks, and a task confirms all pairs of its two blocks that are apart, likeliest first, and returns only links that join
@@ -32,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, bounded_batches, components, keep_only, written
+from .common import appended, bounded_batches, components, joined_components, keep_only, written
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
 #: Nodes of a block.
-BLOCK = 1024
+BLOCK = 512
 WORDS = 5
 #: Links have 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
@@ -343,21 +342,12 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     texts = texts_of(ends)
 
-    both = pairs.union(pairs.select("b", "a", "est"))
-    best = both.groupBy("a").agg(F.max(F.struct("est", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(linked(best, texts, percent), "links")
-    label = components(links)
-    la, lb = label.toDF("a", "ca"), label.toDF("b", "cb")
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)")
-    more = written(linked(apart, texts, percent), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        label = components(links)
+    label = written(components(linked(pairs, texts, percent)), "labels")
     apart = written(apart_in_regions(nodes, label), "apart")
     if not apart.isEmpty():
         more = written(joining(apart, nodes, texts_of(apart.select("node").distinct()), percent), "links")
         if not more.isEmpty():
-            label = components(links.union(more))
+            label = joined_components(label, more)
 
     firsts = nodes.select("node", "first_id").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first_id")
     named = firsts.join(firsts.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import bpe, embeddings, imatch, langid, minhash, packing, pii, queries, secrets, sharding, toxicity
-from lectern.llm.common import components
+from lectern.llm.common import components, joined_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 3000 + "x" * 9000 + " 4111 1111 1111 1111 a@b.cd " + "é" * 500
@@ -168,8 +168,12 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((root(a), root(b)))
         parent[y] = x
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got.get(x, x) == root(x) for x in parent)
+    frame = lambda some: spark.createDataFrame(some, "a long, b long")
+    for cut in (len(edges), len(edges) // 2, 3, 0):
+        label = components(frame(edges[:cut]))
+        rows = (joined_components(label, frame(edges[cut:])) if cut < len(edges) else label).collect()
+        got = {r.node: r.component for r in rows}
+        assert len(got) == len(rows) and all(got.get(x, x) == root(x) for x in parent)
 
 
 # 2
