@@ -12,14 +12,29 @@ from ..functions import text as X
 from .layout import script_type
 
 # Families of fonts that set formulas.
-MATH_FONTS = r"(?i)CM(?:MI|SY|EX|R)\d*|MS[AB]M\d*|Euler|STIX.*Math|Symbol|Math(?:emat)?ica|Cambria\s*Math|Latin\s*Modern\s*Math|XITS\s*Math|Asana\s*Math|DejaVu.*Math|Fira\s*Math|Libertinus\s*Math|TeX\s*Gyre.*Math"
+MATH_FONTS = (
+    r"CM(MI|SY|EX|R)\d*",
+    r"(MSAM|MSBM)\d*",
+    r"Euler",
+    r"STIX.*Math",
+    r"Symbol",
+    r"Math(emat)?ica",
+    r"Cambria\s*Math",
+    r"Latin\s*Modern\s*Math",
+    r"XITS\s*Math",
+    r"Asana\s*Math",
+    r"DejaVu.*Math",
+    r"Fira\s*Math",
+    r"Libertinus\s*Math",
+    r"TeX\s*Gyre.*Math",
+)
 
 #: One span of a line.
 SPAN = "struct<text:string,font:string,size:double,y:double>"
 
 
 def is_math_font(name: Column) -> Column:
-    return F.coalesce(name.rlike(MATH_FONTS), F.lit(False))
+    return F.coalesce(name.rlike("(?i)" + "|".join(MATH_FONTS)), F.lit(False))
 
 
 def normal_size(spans: Column) -> Column:
