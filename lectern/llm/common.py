@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -68,14 +69,34 @@ def keep_only(name: str, drop: Callable[[], None]) -> None:
     _kept[name] = drop
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
+_scratch: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation.
+
+    Within `scratch` the table goes when that ends, unless it is kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch and not kept:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside and not kept are deleted at the end; what is returned from here must not need them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            own = spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def crc32_utf8(col):
     """Unsigned CRC-32 of the UTF-8 bytes; null stays null."""
     return F.crc32(F.encode(col, "UTF-8"))
@@ -98,6 +119,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     smallest one, so chains shorten geometrically, until all that is left are stars around smallest nodes. One row per edge and step at most:
     neighbourhoods are never gathered in one task, a hub's rows are only joined with its minimum.
     """
+    with scratch(edges.sparkSession):
+        return written(_stars(edges, rounds), "components", kept=True)
+
+
+def _stars(edges: DataFrame, rounds: int) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
         ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
@@ -115,7 +141,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 def joined_components(label: DataFrame, more: DataFrame) -> DataFrame:
     """label (node, component) after more edges (a, b); only the components that these join are looked at again."""
     of = lambda df, c: df.join(label.toDF(c, f"c{c}"), c, "left").withColumn(c, F.coalesce(f"c{c}", c)).select("a", "b")
-    over = written(components(of(of(more, "a"), "b")), "labels")
+    over = components(of(of(more, "a"), "b"))
     moved = label.join(over.toDF("component", "new"), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
     # smallest nodes have no row of their own until they join others
     return moved.union(over)

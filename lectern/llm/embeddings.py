@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, components, written
+from .common import bounded_batches, components, scratch, written
 
 THRESHOLD = 0.95
 #: Probability of missing a pair that is just at the threshold.
@@ -216,7 +216,8 @@ def groups(table: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -
     # equal vectors are put together before anything is compared
     distinct = rows.where("fit").groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    found = written(links(distinct, distinct.count(), threshold, miss), "links")
+    with scratch(table.sparkSession):
+        found = written(links(distinct, distinct.count(), threshold, miss), "links", kept=True)
     label = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     # the nodes with links, and what they are called: by the smallest vec_id of a component

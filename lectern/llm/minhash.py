@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, bounded_batches, components, joined_components, keep_only, written
+from .common import appended, bounded_batches, components, joined_components, keep_only, scratch, written
 
 TREES, DEPTH, LEAST, WIDTH = 16, 8, 3, 4
 #: Nodes of a block.
@@ -327,9 +327,6 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = written(profiles(docs), "profiles")
     # copies are put together before anything is compared; one row's text stands for them
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("own"), F.first("sig").alias("sig")), "nodes")
-    pairs = written(likely(candidates(nodes), nodes, percent), "pairs")
-
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:  # other texts may have the same hash
@@ -340,14 +337,14 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = docs.join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").mapInPandas(own, "node long, text string")
         return written(found.dropDuplicates(["node"]), "texts")
 
-    texts = texts_of(ends)
-
-    label = written(components(linked(pairs, texts, percent)), "labels")
-    apart = written(apart_in_regions(nodes, label), "apart")
-    if not apart.isEmpty():
-        more = written(joining(apart, nodes, texts_of(apart.select("node").distinct()), percent), "links")
-        if not more.isEmpty():
-            label = joined_components(label, more)
+    with scratch(docs.sparkSession):
+        pairs = written(likely(candidates(nodes), nodes, percent), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        label = components(linked(pairs, texts_of(ends), percent))
+        apart = written(apart_in_regions(nodes, label), "apart")
+        more = None if apart.isEmpty() else written(joining(apart, nodes, texts_of(apart.select("node").distinct()), percent), "links", kept=True)
+    if more is not None and not more.isEmpty():
+        label = joined_components(label, more)
 
     firsts = nodes.select("node", "first_id").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first_id")
     named = firsts.join(firsts.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")

@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, held_out, keep_only, written
+from .common import appended, held_out, keep_only, scratch, written
 
 SAMPLE = 6000
 #: Terms and stems, at most, and what makes one: toxic documents, how much more often than in clean ones, and evidence (natural
-#: logarithm of the odds against chance), over that of the number of words that have SUPPORT documents at all. So what is asked for
-#: follows the sample, and chance alone gives exp(-EVIDENCE) terms.
-TERMS, STEMS, SUPPORT, LIFT, STEM_LIFT, EVIDENCE = 1000, 300, 4, 12.0, 6.0, 2.0
+#: logarithm of the odds against chance), over that of the number of words that have as many documents or more. So what is asked for
+#: follows the sample, however small, and chance alone hardly gives a term.
+TERMS, STEMS, SUPPORT, LIFT, STEM_LIFT, EVIDENCE = 1000, 300, 4, 12.0, 6.0, 1.0
 STEM_LENGTHS, STEM_WORDS = (4, 5, 6), 4
 ONE_FROM, TWO_FROM = 5, 10
 WINDOW = 8
@@ -253,6 +253,11 @@ def _words(col):
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """The lexicon and the weights, from a sample whose size is bounded, whatever the size of docs."""
+    with scratch(docs.sparkSession):
+        return _learned(docs, labels, most)
+
+
+def _learned(docs: DataFrame, labels: DataFrame, most: int) -> Model:
     spark = docs.sparkSession
     rows = written(sample(docs, labels, most), "labelled")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -267,9 +272,14 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     odds = F.col("bad") * F.log(share / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - base))).otherwise(0.0)
 
     def marked(counts: DataFrame, least: float) -> DataFrame:
-        counts = written(counts.where(F.col("bad") + F.col("good") >= SUPPORT), "counts")
-        evidence = math.log(max(1, counts.count())) + EVIDENCE
-        return counts.withColumn("lift", lift).withColumn("odds", odds).where((F.col("bad") >= SUPPORT) & (F.col("lift") >= least) & (F.col("odds") >= evidence))
+        counts = written(counts.withColumn("total", F.col("bad") + F.col("good")).where(F.col("total") >= SUPPORT), "counts")
+        asked, more = [], 0
+        for r in sorted(counts.groupBy("total").agg(F.count("*").alias("n")).collect(), reverse=True):  # one row at most for each document of the sample
+            more += r["n"]
+            asked.append((r["total"], math.log(more) + EVIDENCE))
+        asked = spark.createDataFrame(asked, "total long, evidence double")
+        fit = counts.withColumn("lift", lift).withColumn("odds", odds).where((F.col("bad") >= SUPPORT) & (F.col("lift") >= least))
+        return fit.join(F.broadcast(asked), "total").where(F.col("odds") >= F.col("evidence"))
 
     terms = [r["word"] for r in marked(words.groupBy("word").agg(*seen), LIFT).orderBy(F.desc("odds"), "word").limit(TERMS).collect()]
     beginnings = words.select("toxic", "row", "word", F.explode(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LENGTHS])).alias("stem")).where("stem is not null")
