@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import langid, minhash, packing, secrets, toxicity
-from lectern.llm.common import written
+from lectern.llm.common import scratch, written
 from lectern.llm.queries import tokenizer_path
 
 #: Phrases a character, beyond the SHORT that any text takes, from which no learned language explains a text. Held-out documents of the learned
@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage has written besides goes when its result is there
+            docs = written(stage(spark, docs, sf_dir), name, kept=True)
     return STAGES[-1][1](spark, docs, sf_dir)
