@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -319,6 +320,24 @@ def test_shards(spark, tiny, hostile, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_each_row_walks_to_the_first_shard_with_room(spark, tiny):
+    """Row by row: the key's point on the ring, the shards that it meets clockwise, and which of those are full."""
+    docs = table(spark, tiny, "documents").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**6, f"copy {i}") for i in range(60)], "doc_id long, text string"))
+    got = sharding.shard_documents(docs)
+    nodes = sharding.ring(16)
+    points = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(sharding.POINTS)).alias("p")).distinct().collect()}
+    rows = got.collect()
+    load, low = Counter(r.shard for r in rows), len(rows) // 16
+    assert len(rows) == docs.count() and {r.law for r in rows} == {"rows"}
+    for r in rows:
+        after = [(p, s) for p, s in nodes if p >= points[r.doc_id]] + [(p, s) for p, s in nodes if p < points[r.doc_id]]
+        met = list(dict.fromkeys(s for _, s in after))
+        assert all(load[s] >= low for s in met[: met.index(r.shard)])
+    home = sum(r.shard == next((s for p, s in nodes if p >= points[r.doc_id]), nodes[0][1]) for r in rows)
+    assert home >= 0.7 * len(rows)  # a few overflow to the next shard; the others stay
+
+
 def test_flow_is_the_walk_along_the_ring():
     rng = random.Random(4)
     nodes = sharding.ring(5, 8)
@@ -435,6 +454,42 @@ def test_toxicity_held_out(spark):
     assert hits / sum(r.toxic for r in got) >= 0.9 and hits / sum(r.predicted for r in got) >= 0.9
 
 
+def _strength(word, model):
+    """Of one word: all terms by edit distance, one after another."""
+    def match(w):
+        near = [toxicity.distance(w, t) for t in model.terms if toxicity.distance(w, t) <= (len(t) >= toxicity.ONE_FROM) + (len(t) >= toxicity.TWO_FROM)]
+        return 1 + min(near) if near else toxicity.STEM if any(w.startswith(s) for s in model.stems) else 0
+
+    w = re.sub(r"^[\W_]+|[\W_]+$", "", word)
+    plain = "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}.get(c, c) for c in w)
+    found, looks = match(w), match(plain) if plain != w else 0
+    if found in (0, toxicity.STEM) and looks:
+        found = max(looks, 2) if looks < toxicity.STEM else found or looks
+    if 1 < found < toxicity.STEM and w in model.usual:
+        found = toxicity.STEM if any(x.startswith(s) for s in model.stems for x in (w, plain)) else 0
+    return found
+
+
+def test_toxicity_equals_plain_scoring(spark):
+    """Every row of the query, with the learned model, against a version that compares each word with each term."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = toxicity.learn(docs, labels)
+    assert {"idiot", "scum", "trash"} <= set(model.terms) and len(model.weights) == 1 + toxicity.FEATURES
+    got = {r.doc_id: r for r in toxicity.predictions(docs, labels).collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    said = {d: t for d, t in texts(spark, "/root/testdata/sf0.01").items() if len(t) < 700}
+    for d in [*sorted(toxic & set(said))[:8], *sorted(set(said) - toxic)[:8]]:
+        words = said[d].lower().split()
+        hits = [(i, _strength(w, model)) for i, w in enumerate(words)]
+        hits = [(i, c, toxicity.quoted(words, i), toxicity.addressed(words, i)) for i, c in hits if c]
+        abuse = sum(0.85 ** (c - 1) for _, c, q, _ in hits if not q and c < toxicity.STEM)
+        stems = sum(c == toxicity.STEM and not q for _, c, q, _ in hits)
+        x = [np.log1p(abuse) + (abuse > 0), np.log1p(stems) + (stems > 0), np.log1p(sum(q for *_, q, _ in hits)), np.log1p(sum(a for *_, q, a in hits if not q)), min(3.0, 100 * (abuse + stems) / max(1, len(words))), np.log1p(len(words) / 100) * (abuse + stems > 0)]
+        score = 1 / (1 + np.exp(-(model.weights[0] + np.dot(model.weights[1:], x if hits else [0.0] * 6))))
+        assert abs(got[d].score - score) < 1e-9 and got[d].predicted == int(score >= 0.3)
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
 def test_toxicity_rows(spark, hostile, empty):
     labels = spark.createDataFrame([(4, 1, 1), (8, 1, 0), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert len(toxicity.predictions(hostile, labels).collect()) == len(HOSTILE)
@@ -515,6 +570,54 @@ def test_fingerprints(spark, tiny, hostile, empty):
     assert imatch.compared(empty).count() == 0
 
 
+def _print(text, lexicon):
+    """A fingerprint in plain Python: the terms' hashes, the band, the subsets, one hash for each."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    terms = {signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+    kept = terms & lexicon
+    kept |= set(sorted(terms - kept)[: max(0, imatch.FEW - len(kept))])
+    slots = []
+    for bits, first, n in imatch.RATES:
+        for v in range(n):
+            mine = [h for h in sorted(kept) if (h % 2**64 >> first) & ((1 << bits) - 1) == v]
+            code = 42
+            for h in mine:
+                code = xxhash.xxh64((h % 2**64).to_bytes(8, "little"), seed=code).intdigest()
+            slots.append(f"{code & 0xFFFFFFFF:08x}" if mine else imatch.EMPTY)
+    return "".join(slots)
+
+
+def _like(a, b):
+    if a == b:
+        return 1.0
+    pairs = [(a[8 * i : 8 * i + 8], b[8 * i : 8 * i + 8]) for i in range(imatch.SUBSETS)]
+    share = lambda some: (len(used := [p for p in some if p != (imatch.EMPTY,) * 2]), sum(x == y for x, y in used))
+    at, rates = 0, []
+    for _, _, n in imatch.RATES:
+        used, same = share(pairs[at : at + n])
+        at += n
+        if used >= imatch.ENOUGH:
+            rates.append(same / used)
+    used, same = share(pairs)
+    return max(rates) if rates else same / used if used else 0.0
+
+
+def test_fingerprints_equal_plain_ones(spark, tiny):
+    said = texts(spark, tiny)
+    order, n = sorted(said), len(said)
+    terms = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    seen = Counter(w for t in said.values() for w in terms(t))
+    band = {w for w, k in seen.items() if max(2, -(-n // 2000)) <= k <= max(2, n // 10)}
+    hashed = {x - 2**64 if x >= 2**63 else x for x in (xxhash.xxh64(w.encode(), seed=42).intdigest() for w in band)}
+    prints = {d: _print(t, hashed) for d, t in said.items()}
+    for r in imatch.compared(table(spark, tiny, "documents")).collect():
+        after, t = order[(order.index(r.doc_id) + 1) % n], said[r.doc_id]
+        k = len(t) // 4
+        edited = _print(t[: len(t) - k] + said[after][:k], hashed)
+        assert (r.fingerprint, r.edited_fingerprint) == (prints[r.doc_id], edited)
+        assert abs(r.near_edited - _like(prints[r.doc_id], edited)) < 1e-12 and abs(r.near_next - _like(prints[r.doc_id], prints[after])) < 1e-12
+
+
 def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(f"all some{i % 3} rare{i} Two{i // 2}",) for i in range(30)], "text string")
     got = {r.h for r in imatch.lexicon(docs, 1 / 30, 1 / 2).collect()}
