@@ -61,6 +61,28 @@ class Run:
     last: DataFrame | None = None
 
 
+_SKILLS: dict[str, tuple[str, Callable[..., DataFrame]]] = {}
+
+
+def register_skill(name: str, description: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Puts a composed workflow under a name; the last of equal names wins."""
+
+    def put(workflow: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _SKILLS[name] = (description, workflow)
+        return workflow
+
+    return put
+
+
+def find_skill(name: str) -> Callable[..., DataFrame] | None:
+    return _SKILLS[name][1] if name in _SKILLS else None
+
+
+def skills() -> dict[str, str]:
+    """Names and descriptions."""
+    return {name: said for name, (said, _) in sorted(_SKILLS.items())}
+
+
 def usable(stage: Stage, pipeline: str = "", gates: dict[str, bool] | None = None) -> list[Choice]:
     """Enabled tools that are registered and whose gate is not closed, by rank, then as listed."""
     open_ = [c for c in stage.tools if c.enabled and (gates or {}).get(c.name, True) and find_tool(c.name, stage.name, pipeline)]

@@ -110,6 +110,15 @@ def gathered_stages(spark, sf_dir):
     return found.select("doc_id", F.col("preprocessing.o_orderstatus").alias("status"), F.col("text.o_custkey").alias("custkey"), F.col("layout").isNull().alias("no_layout"))
 
 
+@R.add("webpage_plan", "select page_id, url, true as titled, true as written from pages")
+def webpage_plan(spark, sf_dir):
+    """Pages by the plan of stage tools; every page of the table has a title and text."""
+    from ..plans.tools import run_webpage
+
+    rows = run_webpage(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", (F.col("title") != "").alias("titled"), (X.strip(F.col("markdown")) != "").alias("written"))
+
+
 @R.add("documents_to_markdown", "select count(*) as n, sum(case when text is null or regexp_replace(text, '\\s', '', 'g') = '' then 1 else 0 end)::bigint as blank from documents")
 def documents_to_markdown(spark, sf_dir):
     """Every whole text as Markdown: a text without words stays empty, every other one gives some."""

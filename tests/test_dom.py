@@ -29,8 +29,8 @@ def test_sanitize():
 
 
 def test_media_and_math():
-    out = dom.sanitize("<iframe src='https://www.youtube.com/embed/abc'></iframe><img data-src='a.png' src='data:image/gif;base64,R0'><script type='math/tex; mode=display'>x^2</script>", "https://x.org/")
-    assert out.find("a").attrs["href"] == "https://www.youtube.com/watch?v=abc"
+    out = dom.sanitize("<iframe src='https://www.youtube.com/embed/abcdefghijk'></iframe><img data-src='a.png' src='data:image/gif;base64,R0'><script type='math/tex; mode=display'>x^2</script>", "https://x.org/")
+    assert out.find("a").attrs["href"] == "https://www.youtube.com/watch?v=abcdefghijk"
     assert out.find("img").attrs["src"] == "https://x.org/a.png"
     assert "$$x^2$$" in out.text()
 
@@ -53,3 +53,35 @@ def test_markdown():
 def test_main_content_needs_text():
     assert dom.main_content(dom.parse("<body><main>x</main><article>long enough a text</article></body>")).tag == "article"
     assert dom.main_content(dom.parse("<p>no body</p>")).tag == ""
+
+
+def test_video_pages():
+    forms = {
+        "https://www.youtube.com/embed/abcdefghijk?x=1": "https://www.youtube.com/watch?v=abcdefghijk",
+        "https://youtube.com/shorts/abcdefghijk": "https://www.youtube.com/watch?v=abcdefghijk",
+        "http://youtu.be/abcdefghijk": "https://www.youtube.com/watch?v=abcdefghijk",
+        "https://player.vimeo.com/video/123": "https://vimeo.com/123",
+        "https://player.bilibili.com/player.html?a=1&bvid=BV1xx": "https://www.bilibili.com/video/BV1xx",
+        "https://player.bilibili.com/player.html?aid=42": "https://www.bilibili.com/video/av42",
+        "https://www.bilibili.com/video/BV1yy/": "https://www.bilibili.com/video/BV1yy",
+        "https://bilibili.com/video/av7": "https://www.bilibili.com/video/av7",
+        "https://youtu.be/short": "https://youtu.be/short",
+        "https://x.org/?u=https://youtu.be/abcdefghijk": "https://x.org/?u=https://youtu.be/abcdefghijk",
+    }
+    assert {src: dom.video_page(src) for src in forms} == forms
+
+
+def test_sharing_widgets_go():
+    assert "gone" not in dom.sanitize("<div class='sharing-widget'>gone</div><p>kept</p>").html()
+
+
+def test_plain_markdown():
+    html = "<nav>n</nav><p>one\n two</p><table><tr><th>k</th></tr><tr><td>a|b</td></tr><tr></tr></table><style>s</style>end"
+    assert dom.plain_markdown(html) == "one\n\ntwo\n\n| k |\n| --- |\n| a\\|b |\n\nend"
+    assert dom.plain_markdown(None) == dom.plain_markdown("") == "" and dom.plain_markdown("<table></table>") == ""
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="<>/abp tablerd='\"!-&;\n", max_size=80))
+def test_any_text_has_plain_markdown(text):
+    dom.plain_markdown(text)

@@ -112,3 +112,32 @@ def test_synthesis_ignores_failures(spark):
 def test_script_types(spark):
     for size, y, wanted in ((10, 100, "normal"), (5, 90, "superscript"), (5, 110, "subscript"), (6, 100, "superscript"), (7, 100, "normal")):
         assert value(spark, L.script_type(F.lit(size), F.lit(y), F.lit(100), F.lit(10)), x=1) == wanted
+
+
+def test_passes_over_lines_are_linear(spark):
+    """100,000 lines: a blank line between plain ones, runs of rows in order, sums of all before."""
+    import time
+
+    from lectern.functions import markdown as M
+    from lectern.functions import text as X
+    from lectern.operators import tables as B
+
+    n = 100_000
+    text = "\n".join("- item" if i % 10 < 3 else "```" if i % 10 in (4, 7) else f"line {i}" for i in range(n))
+    rows = "\n".join(f"| {i} | b | c |" if i % 5 else " plain" for i in range(n))
+    began = time.perf_counter()
+    df = spark.createDataFrame([(text, rows, [1] * 1000)], "t string, r string, n array<int>")
+    got = df.select(M.break_paragraphs(F.col("t")).alias("t"), B.runs(F.col("r")).alias("r"), X.sums_before(F.col("n")).alias("n")).first()
+    assert time.perf_counter() - began < 120
+    assert len(got.r) == n // 5 and all(len(x) == 4 for x in got.r) and got.r[1][0] == "| 6 | b | c |"
+    assert got.n == list(range(1000))
+    # of ten lines: list | plain | code of four | plain, plain -> a blank line before each but the lines of code and lists
+    assert got.t.split("\n")[:20] == ["- item", "- item", "- item", "", "line 3", "", "```", "line 5", "line 6", "```", "", "line 8", "", "line 9", "", "- item", "- item", "- item", "", "line 13"]
+
+
+def test_runs_of_rows(spark):
+    from lectern.operators import tables as B
+
+    said = ["", "a\tb\tc", "x\n| a | b |\n|-|-|\n\ny\n| c | d |\n  | e | f |  ", "\n\n| a | b |\n\n\n", None]
+    got = [r.r for r in spark.createDataFrame([(t,) for t in said], "t string").select(B.runs(F.col("t")).alias("r")).collect()]
+    assert got == [[], [["a\tb\tc"]], [["| a | b |", "|-|-|"], ["| c | d |", "| e | f |"]], [["| a | b |"]], []]

@@ -45,3 +45,22 @@ def test_stream(spark, tiny, tmp_path):
     assert counts.agg(F.sum("links")).first()[0] == batch.count()
     seen = S.first_seen(stream.withColumn("at", F.lit("2024-01-01").cast("timestamp")).unionByName(stream.withColumn("at", F.lit("2024-01-01").cast("timestamp"))), "at")
     assert S.drained(seen.select("url"), "stream_urls").count() == spark.read.parquet(f"{tiny}/pages.parquet").select("url").distinct().count()
+
+
+def test_library_tools(spark):
+    """The library's operators run as tools, gathered by a builder; a skill is found by its name."""
+    from lectern.plans import tools
+
+    assert {"text_extraction.pypdf", "table_extraction.pdfplumber", "assembly.default", "markdown.fallback"} <= set(dag.tool_names())
+    docs = spark.createDataFrame([(1, "THE TITLE\n\nsome words\nof it"), (2, None)], "doc_id long, text string")
+    dag.register("preprocessing.keep")(lambda d: d)
+    dag.register("text_extraction.keep")(lambda d: d.where("text is not null"))
+    stages = [dag.Stage("preprocessing", (dag.Choice("keep"),)), dag.Stage("text_extraction", (dag.Choice("keep"),)), dag.Stage("assembly", (dag.Choice("default"),), input_builder="assembly_input")]
+    run = dag.compile_plan(stages, docs, tools.BUILDERS)
+    assert not run.errors and {r.doc_id: r.markdown for r in run.last.collect()} == {1: "# THE TITLE\n\nsome words of it", 2: ""}
+    lost = dag.compile_plan(stages[1:], docs, {"assembly_input": lambda results: None})
+    assert "assembly" in lost.errors and lost.last is None
+
+    pages = spark.createDataFrame([(2**53 + 1, "https://x.org/a", "<title>t</title><main><h1>Head</h1><p>one -- two</p></main>"), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in dag.find_skill("webpage_to_markdown")(pages).collect()}
+    assert set(got) == {2**53 + 1, None} and got[2**53 + 1].markdown == "# Head\n\none — two" and "webpage_to_markdown" in dag.skills()
