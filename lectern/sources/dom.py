@@ -86,7 +86,10 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
+        own: dict[str, str] = {}
+        for name, value in attrs:
+            own.setdefault(name, value or "")  # the first of equal names counts
+        node = Node(tag, own, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
