@@ -75,7 +75,11 @@ def batch_markdown(spark, sf_dir):
     return W.batch_summary(table(spark, sf_dir, "pages")).drop("total_word_count")
 
 
-@R.add("site_report")
+@R.add(
+    "site_report",
+    r"with p as (select regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as domain, html, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') as said from pages), w as (select *, list_filter(regexp_split_to_array(regexp_replace(said, '<[^>]*>', '', 'g'), '\s+'), lambda w: w <> '') as words from p) "
+    r"select domain, count(*) as pages, sum(len(regexp_extract_all(said, '<a [^>]*href=')))::bigint as links, sum(len(words))::bigint as words, count(*) filter (where regexp_extract(html, '(?s)<title>\s*([^<]*?)\s*</title>', 1) <> '')::bigint as titled from w group by domain",
+)
 def site_report(spark, sf_dir):
     return W.site_report(table(spark, sf_dir, "pages"))
 

@@ -85,3 +85,14 @@ def test_plain_markdown():
 @given(st.text(alphabet="<>/abp tablerd='\"!-&;\n", max_size=80))
 def test_any_text_has_plain_markdown(text):
     dom.plain_markdown(text)
+
+
+def test_presets():
+    from lectern.sources.presets import PRESETS, preset
+
+    page = dom.parse("<main><h1>T</h1><article><p>one</p><p>two</p></article><time datetime='2020-01-01'>then</time><a rel=tag>x</a><a rel=tag>y</a></main>")
+    found = dom.extract(page, dom.normalize_config(preset("article")))
+    assert found["title"] == ["T"] and found["published"] == ["2020-01-01"] and found["paragraphs"] == ["one", "two"] and found["tags"] == ["x", "y"] and found["author"] == [None]
+    assert len(PRESETS) == 10 and all(dom.extract(page, dom.normalize_config(preset(k))) is not None for k in PRESETS)
+    preset("article")["title"]["selector"] = "h2"
+    assert preset("article")["title"]["selector"] == "h1"
