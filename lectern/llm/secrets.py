@@ -24,6 +24,8 @@ from .common import appended
 
 #: Alternatives of literal text that a part of a pattern may spell, at most; beyond, the part counts as unknown.
 SPELLINGS = 64
+#: Bytes that are cut into trigrams at once.
+CHUNK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -242,12 +244,13 @@ class Segment:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
         b = np.frombuffer(b"\xff".join(raw).lower(), np.uint8)  # no text holds that byte
-        code = b[:-2].astype(np.int32) << 16 if len(b) > 2 else np.empty(0, np.int32)
-        code |= b[1:-1].astype(np.int32) << 8 if len(b) > 2 else code
-        code |= b[2:] if len(b) > 2 else code
-        number = index.numbers.take(code)
-        at = np.flatnonzero(number)
-        posts = np.unique(number[at].astype(np.int64) * self.n + np.searchsorted(ends, at, side="right"))
+        found = []
+        for low in range(0, max(0, len(b) - 2), CHUNK):  # what is held besides the texts doesn't grow with them
+            part = b[low : low + CHUNK + 2].astype(np.int32)
+            number = index.numbers.take(part[:-2] << 16 | part[1:-1] << 8 | part[2:])
+            at = np.flatnonzero(number)
+            found.append(np.unique(number[at].astype(np.int64) * self.n + np.searchsorted(ends, at + low, side="right")))
+        posts = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         cuts = np.searchsorted(posts, np.arange(1, len(index.grams) + 2) * self.n)
         self.postings = {g: posts[cuts[k] : cuts[k + 1]] - (k + 1) * self.n for k, g in enumerate(index.grams)}
 

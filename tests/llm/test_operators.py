@@ -540,7 +540,9 @@ def test_trigram_queries(pattern, flags, wanted):
     assert got == wanted or isinstance(wanted, tuple) and got[0] == wanted[0] and set(got[1:]) == set(wanted[1:])
 
 
-def test_postings_are_the_texts_that_hold_a_trigram():
+@pytest.mark.parametrize("chunk", [1 << 22, 7])
+def test_postings_are_the_texts_that_hold_a_trigram(monkeypatch, chunk):
+    monkeypatch.setattr(secrets, "CHUNK", chunk)
     rng = random.Random(2)
     said = ["".join(rng.choices("abAB é", k=rng.randrange(12))) for _ in range(200)]
     grams = sorted({b"aba", b"bab", b"aaa", b" \xc3\xa9", b"zzz"})
