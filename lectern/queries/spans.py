@@ -54,3 +54,39 @@ def matched_images(spark, sf_dir):
     images = F.array(d(far, 0, far + 20, 20), d(0, 0, 90, 90), d(60, 110, 70, 120))
     blocks = F.array(d(0, 0, 100, 100), F.when(even, d(0, 0, 40, 40)).otherwise(d(40, 100, 50, 105)), d(900, 900, 910, 910))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(S.matched_images(blocks, images), lambda k: F.coalesce(k.cast("string"), F.lit(""))), ",").alias("places"))
+
+
+@R.add("span_lines", "select l_orderkey, arg_min(size, (-n, size)) as normal_size, max(lines) as spans, any_value(y) as baseline from (select l_orderkey, l_linenumber::double as size, count(*) as n, any_value(ys[1 + len(ys) // 2]) as y, any_value(len(ys)) as lines from (select *, list(l_suppkey::double order by l_suppkey) over (partition by l_orderkey rows between unbounded preceding and unbounded following) as ys from lineitem) group by l_orderkey, l_linenumber) group by l_orderkey")
+def span_lines(spark, sf_dir):
+    """Usual size (the smallest of equally frequent ones) and baseline (upper median) of lines of spans; spans without text count for neither."""
+    blank = F.array(_span(" ", "Times", 99, 9), _span(F.lit(None), "Times", 98, 9))
+    span = F.struct(F.lit("x").alias("text"), F.lit("Times").alias("font"), F.col("l_linenumber").cast("double").alias("size"), F.col("l_suppkey").cast("double").alias("y"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("spans"), F.concat(F.collect_list(span), blank).alias("s"))
+    return rows.select("l_orderkey", S.normal_size(F.col("s")).alias("normal_size"), "spans", S.baseline(F.col("s")).alias("baseline"))
+
+
+@R.add("math_symbols", "select p_partkey, p_partkey % 4 in (0, 1) as there from part")
+def math_symbols(spark, sf_dir):
+    from ..functions import latex as X
+
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat("p_name", F.lit(" ≤ 1"))).when(k == 1, "𝔼[x²]").when(k == 2, F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.has_symbols(text).alias("there"))
+
+
+@R.add("page_numbers", "select o_orderkey, case o_orderkey % 5 when 0 then null when 1 then 0 else greatest(0, o_orderkey % 9 - 1) end::int as page from orders")
+def page_numbers(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    given = F.when(k == 0, "one").when(k == 1, "-3").otherwise((F.col("o_orderkey") % 9).cast("string"))
+    page = F.when(given.try_cast("int").isNotNull(), L.zero_based(given))
+    return table(spark, sf_dir, "orders").select("o_orderkey", page.alias("page"))
+
+
+@R.add("array_helpers", "select p_partkey, p_brand || ',' || p_type as seen, p_brand || ',' || case when p_partkey % 2 = 0 then ',' else p_type || ',' end as padded, round(1 - 3 / greatest(length(p_name), 1), 3)::double as reduced from part where p_brand <> p_type")
+def array_helpers(spark, sf_dir):
+    from ..functions import text as X
+
+    rows = table(spark, sf_dir, "part").where("p_brand <> p_type")
+    row = F.when(F.col("p_partkey") % 2 == 0, F.array("p_brand")).otherwise(F.array("p_brand", "p_type"))
+    seen = X.first_seen(F.array("p_brand", "p_type", "p_brand", "p_type"))
+    return rows.select("p_partkey", F.array_join(seen, ",").alias("seen"), F.array_join(X.padded(row, F.lit(3)), ",").alias("padded"), X.reduction(F.col("p_name"), F.lit("abc")).alias("reduced"))

@@ -141,3 +141,28 @@ def absolute_urls(spark, sf_dir):
 def best_html(spark, sf_dir):
     k = F.col("page_id") % 3
     return table(spark, sf_dir, "pages").select("page_id", W.source_html(F.when(k == 0, "clean").otherwise(""), F.when(k == 1, "main"), F.col("html")).alias("html"))
+
+
+@R.add(
+    "media_sources",
+    "with k as (select p_partkey as p, p_partkey % 8 as k, '/i/' || p_partkey || '.png' as f from part) select p as p_partkey, case k when 0 then 'https://x.org' || f when 1 then 'https://x.org' || f when 2 then 'https://x.org/b' || f when 3 then 'https://x.org' || f when 6 then 'https://x.org/poster.png' end as image, "
+    "case k when 4 then 'https://www.youtube.com/watch?v=abcdefghij_' when 5 then 'https://x.org/v.mp4' when 6 then 'https://x.org/w.mp4' end as link, case when k in (4, 5, 6) then case when k = 5 then '[音频]' else '[视频]' end end as label from k",
+)
+def media_sources(spark, sf_dir):
+    """Lazy images, source sets, image proxies, players, audio, video with a poster, a player without a source."""
+    k, f = F.col("p_partkey") % 8, F.concat(F.lit("/i/"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    html = (
+        F.when(k == 0, F.concat(F.lit("<img src='data:image/gif;base64,R0' data-src='"), f, F.lit("'>")))
+        .when(k == 1, F.concat(F.lit("<img srcset='/small.png 1x, "), f, F.lit(" 3x, /other.png 2x'>")))
+        .when(k == 2, F.concat(F.lit("<img src='/b"), f, F.lit("' data-src='/no.png'>")))
+        .when(k == 3, F.concat(F.lit("<img src='/_next/image?w=64&amp;url="), F.replace(f, F.lit("/"), F.lit("%2F")), F.lit("&amp;q=75'>")))
+        .when(k == 4, F.lit("<iframe src='https://www.youtube.com/embed/abcdefghij_?rel=0'></iframe>"))
+        .when(k == 5, F.lit("<audio><source src='/v.mp4'></audio>"))
+        .when(k == 6, F.lit("<video src='/w.mp4' poster='/poster.png'></video>"))
+        .otherwise(F.lit("<video></video>"))
+    )
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.lit("https://x.org/a/b").alias("url"), F.concat(F.lit("<main><p>some text</p>"), html, F.lit("</main>")).alias("html"))
+    clean = W.perceive(pages, "cleaned_html").select("p_partkey", "url", F.col("cleaned_html").alias("html"))
+    found = W.perceive(clean, "page_images", "links")
+    link = F.get("links", 0)
+    return found.select("p_partkey", F.get("page_images", 0)["src"].alias("image"), link["url"].alias("link"), link["text"].alias("label"))
