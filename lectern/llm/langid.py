@@ -32,6 +32,8 @@ SAMPLE_DOCS, LANGUAGE_CHARS, SAMPLE_CHARS = 200, 60_000, 600_000
 UNKNOWN = "und"
 #: Characters of a segment, at least and at most, and segments of a batch to aim at.
 SEGMENT, SEGMENTS = (256, 8192), 2048
+#: Characters that are parsed at once, which bounds what a worker holds.
+AT_ONCE = 1 << 20
 #: Entries of a table with a place for each state and symbol; larger automata are searched by their edges.
 DENSE = 1 << 23
 
@@ -202,8 +204,19 @@ class Identifier:
         self.automata = [SuffixAutomaton(plain([texts[x]])[0]) for x in self.languages]
         self.bits = np.array([math.log2(a.size) for a in self.automata])
 
+    def drop(self) -> None:
+        """Lets go of what is made for parsing."""
+        for a in self.automata:
+            a.__dict__.pop("_rows", None)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Languages, scores, phrases per character in them."""
+        """Languages, scores, phrases per character in them. AT_ONCE characters are parsed at once, or one text."""
+        sizes = np.cumsum([len(t or "") for t in texts], dtype=np.int64) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+        out = [self._predict(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return tuple(sum((list(x[k]) for x in out), []) for k in range(3))
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         codes, bounds, letters = plain([t or "" for t in texts])
         if not self.languages or not len(texts):
             return [UNKNOWN] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
@@ -242,7 +255,7 @@ def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> Data
 
     def make():
         own = sent.value
-        keep_only("langid", lambda: None)
+        keep_only("langid", own.drop)
         return own.predict
 
     return appended(docs, text, "lang_pred string, lang_score double, phrase_rate double", make)

@@ -25,7 +25,7 @@ from .common import appended
 #: Alternatives of literal text that a part of a pattern may spell, at most; beyond, the part counts as unknown.
 SPELLINGS = 64
 #: Bytes that are cut into trigrams at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)

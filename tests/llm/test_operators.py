@@ -540,7 +540,7 @@ def test_trigram_queries(pattern, flags, wanted):
     assert got == wanted or isinstance(wanted, tuple) and got[0] == wanted[0] and set(got[1:]) == set(wanted[1:])
 
 
-@pytest.mark.parametrize("chunk", [1 << 22, 7])
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
 def test_postings_are_the_texts_that_hold_a_trigram(monkeypatch, chunk):
     monkeypatch.setattr(secrets, "CHUNK", chunk)
     rng = random.Random(2)
