@@ -34,13 +34,16 @@ def text_to_markdown(spark, sf_dir):
     "select doc_id, '<!-- Page 3 -->' || chr(10) || chr(10) || string_agg(m, chr(10) || chr(10) order by y, kind, case when kind = 1 then m end, no) as markdown from e group by doc_id",
 )
 def pages_assembled(spark, sf_dir):
-    """Blocks of 30 points each; every second one of four lies under a table, every third is an image, with text inside that goes."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(2).alias("page"), F.col("l_linenumber").alias("n"), F.expr("l_linenumber * 100000 + l_partkey").alias("no"), F.col("l_partkey").cast("string").alias("p"))
+    """Blocks of 30 points each; every second one of four lies under a table, every third is an image, with text inside that goes.
+
+    An image belongs to the block with its number, so numbers are wide enough that no two lines of a document share one, whatever the part.
+    """
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(2).alias("page"), F.col("l_linenumber").alias("n"), F.expr("l_linenumber * 1000000000000 + l_partkey").alias("no"), F.col("l_partkey").cast("string").alias("p"))
     at = lambda top: box(F.lit(10), F.col("n") * 40 + top, F.lit(200), F.col("n") * 40 + 30)
     kind = F.col("n") % 4
     own = rows.select("doc_id", "page", F.col("no").alias("block_no"), (kind == 3).alias("is_image"), at(0).alias("bbox"), F.concat(F.lit(" block "), "p", F.lit("\n goes on")).alias("text"))
     own = own.withColumn("text", F.regexp_replace("text", "\n ", "\n"))
-    inner = rows.where(kind == 3).select("doc_id", "page", (F.col("no") + 10_000_000).alias("block_no"), F.lit(False).alias("is_image"), at(5).alias("bbox"), F.lit("axis").alias("text"))
+    inner = rows.where(kind == 3).select("doc_id", "page", (F.col("no") + 500_000_000_000).alias("block_no"), F.lit(False).alias("is_image"), at(5).alias("bbox"), F.lit("axis").alias("text"))
     tables = rows.where(kind == 2).select("doc_id", "page", at(0).alias("bbox"), F.lit("| t |").alias("markdown"), F.concat(F.lit("Table "), "p").alias("caption"))
     images = rows.where(kind == 3).select("doc_id", "page", F.col("no").alias("block_no"), F.concat(F.lit("f"), "p", F.lit(".png")).alias("filename"), F.concat(F.lit("a"), "p").alias("caption"), F.when(F.lit(False), at(0)).alias("bbox"))
     return C.document_markdown(C.page_markdown(own.union(inner), tables, images))
