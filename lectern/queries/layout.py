@@ -56,8 +56,9 @@ def figure_texts(spark, sf_dir):
 
 @R.add("texts_removed", f"with b as ({_B}), f as ({_F}), t as (select distinct b.doc_id, b.text from b join f on b.doc_id = f.doc_id and b.page = f.page and {_HIT} where not {_IS_CAPTION}) select b.doc_id, coalesce(string_agg(case when t.text is null then b.text end, chr(10) || chr(10) order by block_no), '') as markdown from b left join t on b.doc_id = t.doc_id and trim(b.text) = trim(t.text) group by b.doc_id")
 def texts_removed(spark, sf_dir):
-    rows = blocks(spark, sf_dir)
-    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), "\n\n").alias("markdown"))
+    """Blocks of one number stand as in the table, by file and row: the SQL leaves their order open."""
+    rows = _with(_BLOCKS | {"file": "_metadata.file_path", "row": "_metadata.row_index"}, "l_returnflag <> 'R'", spark, sf_dir)
+    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "file", "row", "text"))), lambda b: b["text"]), "\n\n").alias("markdown"))
     return L.without_texts(whole, L.figure_texts(rows, figures(spark, sf_dir)).select("doc_id", "text"))
 
 

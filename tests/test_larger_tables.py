@@ -32,3 +32,8 @@ LINES = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int
 def test_images_of_parts_beyond_a_hundred_thousand(differing):
     rows = [(1, 400_005, 1, 3, 1.0, "N"), (1, 5, 1, 7, 1.0, "N"), (1, 700_000, 1, 1, 1.0, "A"), (2, 9, 1, 3, 1.0, "N")]
     assert differing("pages_assembled", "lineitem", LINES, rows) == ([], [])
+
+
+def test_texts_of_one_block_number_stand_as_in_the_table(differing):
+    rows = [(1, 200_007, 1, 1, 1.0, "N"), (1, 100_007, 1, 2, 1.0, "A"), (1, 7, 1, 3, 1.0, "N"), (1, 7, 2, 3, 1.0, "A"), (2, 3, 1, 1, 1.0, "N"), (2, 3, 1, 1, 1.0, "A")]
+    assert differing("texts_removed", "lineitem", LINES, rows) == ([], [])
