@@ -35,9 +35,10 @@ PARTS = {
 }
 
 
-def _page(html: str | None, base: str | None, want: tuple[str, ...], config: dict | None) -> dict:
+def _page(html: str | None, base: str | None, want: tuple[str, ...], config: dict | None, closed: bool = False) -> dict:
     """The wanted parts; an error is a value, not an exception."""
     out: dict = dict.fromkeys(want)
+    html = dom.closed_references(html or "") if closed else html
     try:
         root = dom.parse(html)
         make = {
@@ -65,8 +66,11 @@ def _page(html: str | None, base: str | None, want: tuple[str, ...], config: dic
     return out
 
 
-def perceive(pages: DataFrame, *want: str, html: str = "html", url: str = "url", config: dict | None = None) -> DataFrame:
-    """pages without the html, with the wanted parts; a column of that name is replaced. Only what is asked for is made."""
+def perceive(pages: DataFrame, *want: str, html: str = "html", url: str = "url", config: dict | None = None, closed: bool = False) -> DataFrame:
+    """pages without the html, with the wanted parts; a column of that name is replaced. Only what is asked for is made.
+
+    With `closed` only character references that end in a semicolon are read.
+    """
     unknown = set(want) - set(PARTS)
     if unknown:
         raise ValueError(f"no such part: {sorted(unknown)}")
@@ -82,7 +86,7 @@ def perceive(pages: DataFrame, *want: str, html: str = "html", url: str = "url",
             # other columns pass as they are: as a frame, one null would make floating-point numbers of the integers beside it
             of = lambda name, x=x: x.column(read.index(name))
             bases = of(url).to_pylist() if url in read else [None] * len(x)
-            found = [_page(h, b, want, rules) for h, b in zip(of(html).to_pylist(), bases, strict=True)]
+            found = [_page(h, b, want, rules, closed) for h, b in zip(of(html).to_pylist(), bases, strict=True)]
             made = [pa.array([list(v.items()) if isinstance(v := f.get(w), dict) else v for f in found], t) for w, t in zip(want, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*map(of, keep), *made], names=[*keep, *want])
 
@@ -111,8 +115,9 @@ def link_summary(pages: DataFrame) -> DataFrame:
     return found.select("page_id", X.bigint(F.size("links")).alias("total_links"), X.bigint(inside).alias("internal_links_count"), X.bigint(F.size("links") - inside).alias("external_links_count"))
 
 
-def inspect_pages(pages: DataFrame) -> DataFrame:
-    return perceive(pages.select("page_id", "url", "html"), "title", "description").select("page_id", "url", "title", "description")
+def inspect_pages(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """page_id, url, title, description; `closed` as in `perceive`."""
+    return perceive(pages.select("page_id", "url", "html"), "title", "description", closed=closed).select("page_id", "url", "title", "description")
 
 
 def audit(pages: DataFrame, most: int = 3) -> DataFrame:

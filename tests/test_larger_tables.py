@@ -37,3 +37,12 @@ def test_images_of_parts_beyond_a_hundred_thousand(differing):
 def test_texts_of_one_block_number_stand_as_in_the_table(differing):
     rows = [(1, 200_007, 1, 1, 1.0, "N"), (1, 100_007, 1, 2, 1.0, "A"), (1, 7, 1, 3, 1.0, "N"), (1, 7, 2, 3, 1.0, "A"), (2, 3, 1, 1, 1.0, "N"), (2, 3, 1, 1, 1.0, "A")]
     assert differing("texts_removed", "lineitem", LINES, rows) == ([], [])
+
+
+PAGES = "page_id bigint, url varchar, html varchar"
+
+
+def test_titles_cut_off_within_a_reference(differing):
+    titles = ["a &amp;&amp", "b &quot;c&quot", "d &copy", "&amp;quot; e &middot; f", "g & h &am", "&amp;amp; i", "&ampj; k", "&#x l; &#38 m"]
+    rows = [(i, "https://x.org/a", f"<html><head><title>{t}</title></head><body>&amp</body></html>") for i, t in enumerate(titles)]
+    assert differing("inspect_pages", "pages", PAGES, rows) == ([], [])
