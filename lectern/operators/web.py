@@ -14,7 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import text as X
 from ..sources import dom
 
-#: What a parse can give, and its type.
+#: What a parse can give, and its type. main_tag is the element that the content is taken from, place_tag the first place of content, however little
+#: it holds (a page without any element for it is all body).
 PARTS = {
     "title": "string",
     "description": "string",
@@ -22,6 +23,7 @@ PARTS = {
     "page_images": "array<struct<src:string,alt:string,title:string,width:int,height:int>>",
     "page_text": "string",
     "main_tag": "string",
+    "place_tag": "string",
     "main_html": "string",
     "cleaned_html": "string",
     "markdown": "string",
@@ -48,6 +50,7 @@ def _page(html: str | None, base: str | None, want: tuple[str, ...], config: dic
             "page_images": lambda: dom.images(root, base),
             "page_text": lambda: root.text(),
             "main_tag": lambda: dom.main_content(root).tag,
+            "place_tag": lambda: dom.main_content(root, 0).tag or "body",
             "main_html": lambda: dom.main_content(root).html(),
             "code_blocks": lambda: dom.code_blocks(root),
             "formulas": lambda: dom.formulas(root),

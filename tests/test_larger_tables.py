@@ -46,3 +46,8 @@ def test_titles_cut_off_within_a_reference(differing):
     titles = ["a &amp;&amp", "b &quot;c&quot", "d &copy", "&amp;quot; e &middot; f", "g & h &am", "&amp;amp; i", "&ampj; k", "&#x l; &#38 m"]
     rows = [(i, "https://x.org/a", f"<html><head><title>{t}</title></head><body>&amp</body></html>") for i, t in enumerate(titles)]
     assert differing("inspect_pages", "pages", PAGES, rows) == ([], [])
+
+
+def test_main_content_short_deep_or_missing(differing):
+    pages = ["<body><article><h1>short</h1></article><p>more than ten characters</p></body>", "<body><article>" + "<b>" * 3000 + "deep</article></body>", "<body><p>no place</p></body>", "text alone", None]
+    assert differing("main_content", "pages", PAGES, [(i, "https://x.org/a", h) for i, h in enumerate(pages)]) == ([], [])
