@@ -127,12 +127,12 @@ def with_next(df: DataFrame, column: str, out: str, size: Column | None = None)
     df = df.withColumn("slice", slice_).withColumn("range", F.get(listed, F.col("slice"))).drop("slice")
     after = [{"range": r, "ord": firsts[(k + 1) % len(firsts)][1]} for k, (r, _) in enumerate(firsts)]
     step = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(after)), "array<struct<range:int,ord:bigint>>")))
-    heads = df.where(F.col("ord").isin([o for _, o in firsts])).groupBy("ord").agg(F.min(F.struct("tie", column))[column].alias("head"))
-    heads = step.join(heads, "ord").select(F.col("range").alias("r"), "head")
-    follows = F.lead(F.struct(column)).over(Window.partitionBy("range").orderBy("ord", "tie"))
-    rows = df.repartitionById(parts, F.col("range")).withColumn("follows", follows)
-    out_ = rows.join(heads, (F.col("range") == F.col("r")) & F.col("follows").isNull(), "left")
-    return out_.withColumn(out, F.when(F.col("follows").isNotNull(), F.col("follows")[column]).otherwise(F.col("head"))).drop("follows", "range", "r", "head")
+    heads = df.where(F.col("ord").isin([o for _, o in firsts])).groupBy("ord").agg(F.min(F.struct("tie", column))[column].alias(column))
+    # the row after a range's last is dealt out with the range, so that whole texts are dealt out once and joined with nothing
+    heads = step.join(heads, "ord").select("range", column, F.lit(True).alias("head"))
+    rows = df.withColumn("head", F.lit(False)).unionByName(heads, allowMissingColumns=True).repartitionById(parts, F.col("range"))
+    follows = F.lead(column).over(Window.partitionBy("range").orderBy("head", "ord", "tie"))
+    return rows.withColumn(out, follows).where(~F.col("head")).drop("range", "head")
 
 
 def _halved(s: Column, listed: Column, value: Column) -> Column:

@@ -620,6 +620,13 @@ def test_fingerprints_equal_plain_ones(spark, tiny):
         assert abs(r.near_edited - _like(prints[r.doc_id], edited)) < 1e-12 and abs(r.near_next - _like(prints[r.doc_id], prints[after])) < 1e-12
 
 
+def test_next_rows_deal_texts_out_once(spark):
+    df = spark.range(500).select((F.col("id") * 3 % 500).alias("ord"), F.lit(0).alias("tie"), F.concat(F.lit("t"), (F.col("id") * 3 % 500).cast("string")).alias("text"))
+    out = imatch.with_next(df, "text", "next_text")
+    assert {r.ord: (r.text, r.next_text) for r in out.collect()} == {i: (f"t{i}", f"t{(i + 1) % 500}") for i in range(500)}
+    assert out.count() == 500 and "LeftOuter" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lexicon_is_the_band(spark):
     docs = spark.createDataFrame([(f"all some{i % 3} rare{i} Two{i // 2}",) for i in range(30)], "text string")
     got = {r.h for r in imatch.lexicon(docs, 1 / 30, 1 / 2).collect()}
