@@ -37,7 +37,7 @@ from .common import bounded_batches, keep_only
 SEGMENT = 65_536
 #: Bytes of a pre-token from which it is halved, and of a half that is halved no more.
 LONG, LEAF = 384, 64
-#: Words that a worker remembers.
+#: Words that a worker remembers, twice.
 REMEMBERED = 120_000
 
 #: The file's pre-token pattern.
@@ -114,6 +114,25 @@ def load(path: str) -> tuple[str, dict[bytes, int]]:
     return said, ids
 
 
+class _Words(dict):
+    """The ids of words, made where they are missing. Of the words before the last REMEMBERED ones, as many stay: frequent ones are not made again and again."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= 64:  # long words are rare and not kept
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes in one process."""
 
@@ -130,7 +149,7 @@ class Codec:
             self.tokens[i] = token
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.word)
 
     @functools.cached_property
     def library(self):
@@ -214,21 +233,14 @@ class Codec:
         if any(s in text for s in self.special) or unknown(text):
             return b"".join(self.encoded(self.items(r)).tobytes() for r in runs(text))
         words = runs(normal(text))
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            out = []
-            for w in words:
-                ids = known.get(w)
-                if ids is None:
-                    ids = self.encoded(_PIECE.findall(w)).tobytes()
-                    if len(w) <= 64:  # long words are rare and not kept
-                        known[w] = ids
-                out.append(ids)
-            return b"".join(out)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def word(self, word: str) -> bytes:
+        """The ids of a normalised run; its pre-tokens are remembered as words of their own."""
+        if len(word) <= 64 and word.isalpha() and max(word) < "\u0250":  # Latin letters are one pre-token
+            return array("I", self.whole(word + " ")).tobytes()
+        pieces = _PIECE.findall(word)
+        return self.encoded(pieces).tobytes() if len(pieces) < 2 else b"".join(map(self.words.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> str:
         """What the library's decode gives without a decoder: the tokens with blanks between them."""

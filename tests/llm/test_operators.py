@@ -638,6 +638,17 @@ def test_lexicon_is_the_band(spark):
 CASES = ["a" * 3000, "ab" * 2500 + "!?" * 900, "it's don't I'LL ½²3", "hello <|endoftext|> world", "x\x1cy\xa0z\x85q", "é" * 2000 + "١٢٣", "", "  ", "日本語テキスト" * 10, "é K İ ǅ", "the\n\nquick--brown"]
 
 
+def test_frequent_words_are_encoded_once(path, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    codec, made = bpe.Codec(*bpe.load(path)), Counter()
+    whole = codec.whole
+    codec.whole = lambda text: made.update([text]) or whole(text)
+    said = " ".join(f"often, often x{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    ids = codec.ids(said)
+    assert made["often "] == made[", "] == 1 and len(codec.words) <= 20
+    assert ids == b"".join(codec.encoded(codec.items(r)).tobytes() for r in said.split())
+
+
 def test_bpe_equals_the_library(path):
     from tokenizers import Tokenizer
 
