@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -55,6 +57,8 @@ def appended(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[
         for x in batches:
             made = said(x.column(columns.index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([x.column(columns.index(c)) for c in kept] + [pa.array(v, t) for v, t in zip(made, types, strict=True)], names=[*kept, *new.names])
+            del x, made
+            pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
@@ -63,10 +67,21 @@ _kept: dict[str, Callable[[], None]] = {}
 
 
 def keep_only(name: str, drop: Callable[[], None]) -> None:
-    """Drops what other operators keep in this Python worker; a worker serves one stage after another."""
+    """Drops what other operators keep in this Python worker, and gives their memory back; a worker serves one stage after another."""
+    first = name not in _kept
     for other in [n for n in _kept if n != name]:
         _kept.pop(other)()
     _kept[name] = drop
+    if first:
+        give_back()
+
+
+def give_back() -> None:
+    """Returns free memory to the system. Arrow's pool and the C library hold on to it, so that each stage's would stand beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _scratch: list[list[str]] = []

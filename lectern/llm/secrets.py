@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended
+from .common import appended, keep_only
 
 #: Alternatives of literal text that a part of a pattern may spell, at most; beyond, the part counts as unknown.
 SPELLINGS = 64
@@ -295,6 +295,7 @@ def find(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text
     kinds = [r.kind for r in rules]
 
     def make():
+        keep_only("secrets", lambda: None)
         scanner = Scanner(rules)
         return lambda texts: [[[{"kind": kinds[k], "start": s, "end": e} for s, k, e in y] for y in scanner.spans([t or "" for t in texts])]]
 
@@ -305,6 +306,7 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "te
     """df with every secret in df[text] replaced; overlapping spans are replaced as one. null stays null."""
 
     def make():
+        keep_only("secrets", lambda: None)
         scanner = Scanner(rules)
         return lambda texts: [[_without(t, spans, mark) for t, spans in zip(texts, scanner.spans([t or "" for t in texts]), strict=True)]]
 
